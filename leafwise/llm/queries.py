@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from leafwise.llm import bpe, html_extract, simhash, sketch
 from leafwise.llm.langid import predict, train
 from leafwise.llm.license_scan import scan_licenses
 from leafwise.llm.mixing import mix
@@ -21,6 +23,26 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("spans")
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op6_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return sketch.edited_neighbours(documents(spark, sf_dir))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    return bpe.encode(documents(spark, sf_dir), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN, digest=True)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures, base rules and the weak-supervision verdict of every document."""
     return score_quality(documents(spark, sf_dir))
@@ -44,6 +66,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op4_html_main_text": op4_html_main_text,
+    "op5_simhash": op5_simhash,
+    "op6_scaled_sketch": op6_scaled_sketch,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_source_mix": op10_source_mix,

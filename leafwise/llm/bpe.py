@@ -83,7 +83,8 @@ def _block_of(rows: list[int]) -> int:
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """(row's id, ids: array of int) of every row; with ``digest`` n_tokens, ids_sha256 and decoded_sha256 instead.
+    """(row's id, ids: array of int, round_trip: whether they decode to the text) of every row; with ``digest``
+    n_tokens, ids_sha256 and decoded_sha256 instead.
 
     A null text has no ids (as an empty one). Ids should be unique within a table of documents, but repeated and null
     ids are kept: rows are packed, not grouped by id. Special tokens in a text are ordinary text. The rank file is
@@ -141,13 +142,15 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                         parts.append(got)
                     joined = b"".join(parts)
                     ids = np.frombuffer(joined, "<u4")
+                    decoded = b"".join(map(spelled.__getitem__, ids.tolist()))
                     out[0].append(row)
                     if digest:
                         out[1].append(ids.size)
                         out[2].append(hashlib.sha256(joined).hexdigest())
-                        out[3].append(hashlib.sha256(b"".join(map(spelled.__getitem__, ids.tolist()))).hexdigest())
+                        out[3].append(hashlib.sha256(decoded).hexdigest())
                     else:
                         out[1].append(ids.astype(np.int32))
+                        out[2].append(decoded == (text or b""))
                     if len(out[0]) >= 512:
                         yield _batch(out, digest)
                         out = [[], [], [], []]
@@ -159,7 +162,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     joined = pairs.join(encoded, "word").select("block", "word", "ids", F.lit(None).cast("binary").alias("data"))
     packed = source.mapInArrow(payloads, "block bigint, data binary").select("block", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("binary").alias("ids"), "data")
     together = joined.unionByName(packed).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", F.col("data").isNotNull())
-    out = together.mapInArrow(assemble, "row bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "row bigint, ids array<int>")
+    out = together.mapInArrow(assemble, "row bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "row bigint, ids array<int>, round_trip boolean")
     name = F.when(F.col("row") != -(1 << 63) + 1, F.col("row")).alias(id_col)
     return out.select(name, *out.columns[1:])
 
@@ -168,7 +171,7 @@ def _batch(out: list[list], digest: bool) -> pa.RecordBatch:
     if digest:
         kinds = (("row", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()))
     else:
-        kinds = (("row", pa.int64()), ("ids", pa.list_(pa.int32())))
+        kinds = (("row", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()))
     return pa.RecordBatch.from_arrays([pa.array(out[k], kind) for k, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
 
 

@@ -245,7 +245,8 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     held = stored(df.select(df[id_col].alias("doc_id"), candidates(df[text_col]).alias("spans")))
     model = fit(held)
     marked = held.select("doc_id", _ordered(F.filter("spans", lambda x: x["kind"].isin(*BASE))).alias("base"), _ordered(F.filter("spans", model.accepts)).alias("kept"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE]
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    counts = [count(k) for k in BASE]
     found = F.transform("kept", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return marked.select("doc_id", *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.col("kept")).alias("spans"), found.alias("found"))
 

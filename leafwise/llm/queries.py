@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from leafwise.llm import bpe, html_extract, simhash, sketch
+from leafwise.llm import bpe, html_extract, pii, simhash, sketch, warc
 from leafwise.llm.langid import predict, train
 from leafwise.llm.license_scan import scan_licenses
 from leafwise.llm.mixing import mix
@@ -23,6 +23,17 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("spans")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.find_pii(documents(spark, sf_dir)).drop("found")
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture of a crawl of the pages with the response that it resolves to."""
+    out = warc.resolve_revisits(warc.captures_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return out.withColumn("headers", warc.header_text(F.col("headers")))
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -66,6 +77,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_pii": op2_pii,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_html_main_text": op4_html_main_text,
     "op5_simhash": op5_simhash,
     "op6_scaled_sketch": op6_scaled_sketch,
@@ -76,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_warc_revisits": warc.REVISITS_SQL}

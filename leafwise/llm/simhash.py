@@ -79,15 +79,8 @@ def _first(differing: Column) -> Column:
     return out
 
 
-def _flips(bits: int) -> list[int]:
-    """Masks of at most ``bits`` bits, signed."""
-    masks = [sum(1 << k for k in c) for n in range(bits + 1) for c in itertools.combinations(range(64), n)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
 def links(distinct: DataFrame, posting: int = 256) -> DataFrame:
     """(a, b) of distinct fingerprints, a < b: enough links to connect all that differ in at most three bits."""
-    spark = distinct.sparkSession
     postings = distinct.select("fp", F.posexplode(F.array(*[_key(F.col("fp"), b) for b in STEINER])).alias("block", "key"))
     sizes = postings.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"))
     shared = stored(sizes.where("n > 1"))  # most lists hold one fingerprint
@@ -101,10 +94,13 @@ def links(distinct: DataFrame, posting: int = 256) -> DataFrame:
     if crowded.isEmpty():
         return pairs.distinct()
     hot = postings.join(crowded, ["block", "key"], "left_semi").select("fp").distinct()
-    far = spark.createDataFrame([(m,) for m in _flips(2)], "mask bigint").agg(F.collect_list("mask").alias("masks"))  # 2,081 masks
-    near = F.array(*[F.lit(m) for m in _flips(1)])
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+    bits = F.sequence(F.lit(0), F.lit(63))
+    none = F.array(F.lit(0).cast("bigint"))
+    near = F.concat(none, F.transform(bits, bit))
+    far = F.concat(none, F.flatten(F.transform(bits, lambda i: F.transform(F.sequence(i, F.lit(63)), lambda j: bit(i).bitwiseOR(bit(j))))))  # 2,081 masks
     odd = F.bit_count("fp") % 2 == 1
-    wide = hot.where(~odd).crossJoin(F.broadcast(far)).select("fp", F.explode("masks").alias("mask"))
+    wide = hot.where(~odd).select("fp", F.explode(far).alias("mask"))
     narrow = hot.select("fp", F.explode(near).alias("mask"))
     posted = wide.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("word"), (F.bit_count("mask") < 2).alias("close"))
     posted = posted.unionByName(narrow.where(odd).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("word"), F.lit(True).alias("close")))

@@ -1,10 +1,10 @@
-"""Byte-level BPE encoding and decoding through a global table of distinct words.
+"""Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
 Pre-tokens ("words") are found by the tokenizer's pattern. A word that is a token itself has its id in the rank table.
 Every other word is encoded once for the whole corpus: documents are packed into blocks, each block's distinct words go
-through one shuffle that makes them distinct globally, each is encoded, and the ids are joined back to the blocks. A
-block's words then meet its packed (compressed) texts, where ids are put together by position. Blocks keep positions
-out of the shuffle, and a word that is everywhere is one row a block.
+by hash to buckets, one packed row for each block and bucket, so that all occurrences of a word meet. A bucket encodes
+each of its distinct words once and sends the ids back to the blocks, where they meet the block's packed texts and are
+put together by position. Packed rows keep the shuffle small, and a word that is everywhere is one entry a block.
 
 Decoding joins ids to the table of token bytes, whose size is fixed by the vocabulary (about 50,000 rows).
 """
@@ -21,12 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafwise.llm.common import chunks, shuffle_partitions
 
 #: Rows and bytes of a block; a longer text forms a block of its own.
-BLOCK_ROWS, BLOCK_BYTES = 4096, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 16384, 16 << 20
+#: Distinct words whose ids a bucket holds at once; beyond that it starts anew, which repeats work but changes no result.
+HELD_WORDS = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -62,21 +65,24 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[start[i] : end[i]]] for i in range(n) if alive[i]]
 
 
-def _pack(ids: list[bytes], texts: list[bytes | None]) -> bytes:
-    sizes = [-1 if t is None else len(t) for t in texts]
-    return zlib.compress(struct.pack(f"<I{len(ids)}q{len(ids)}q", len(ids), *ids, *sizes) + b"".join(t or b"" for t in texts), 1)
+def _pack(sizes: list[int], parts: list[bytes]) -> bytes:
+    """Byte strings with their sizes (-1: null), compressed."""
+    return zstandard.compress(struct.pack(f"<I{len(sizes)}q", len(sizes), *sizes) + b"".join(parts), 3)
 
 
-def _unpack(data: bytes) -> Iterator[tuple[int, bytes | None]]:
-    raw = zlib.decompress(data)
+def _unpack(data: bytes) -> Iterator[bytes | None]:
+    raw = zstandard.decompress(data)
     (n,) = struct.unpack_from("<I", raw)
-    rows, sizes = struct.unpack_from(f"<{n}q", raw, 4), struct.unpack_from(f"<{n}q", raw, 4 + 8 * n)
-    at = 4 + 16 * n
-    for row, size in zip(rows, sizes, strict=True):
-        yield row, None if size < 0 else raw[at : at + size]
+    at = 4 + 8 * n
+    for size in struct.unpack_from(f"<{n}q", raw, 4):
+        yield None if size < 0 else raw[at : at + size]
         at += max(0, size)
 
 
+def _pack_words(words: list[bytes]) -> bytes:
+    return _pack([len(w) for w in words], words)
+
+
 def _block_of(rows: list[int]) -> int:
     """A block's key follows from its rows alone, so that a task that runs again makes the same."""
     return int.from_bytes(hashlib.blake2b(struct.pack(f"<{len(rows)}q", *rows), digest_size=8).digest(), "little", signed=True)
@@ -104,43 +110,55 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             distinct: set[str] = set()
             for t in texts:
                 distinct.update(find.findall(t or ""))
-            found = [b for w in distinct if (b := w.encode("utf-8", "surrogatepass")) not in known]
-            yield pa.RecordBatch.from_arrays([pa.array([_block_of(rows)] * len(found), pa.int64()), pa.array(found, pa.binary())], ["block", "word"])
+            shares: dict[int, list[bytes]] = {}
+            for w in distinct:
+                if (b := w.encode("utf-8", "surrogatepass")) not in known:
+                    shares.setdefault(zlib.crc32(b) % buckets, []).append(b)
+            keys = sorted(shares)
+            packed = [_pack_words(sorted(shares[k])) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([_block_of(rows)] * len(keys), pa.int64()), pa.array(packed, pa.binary())], ["bucket", "block", "words"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, {}
         for batch in batches:
-            ids = [np.array(merge_word(w, ranks.value), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+            made = []
+            for key, packed in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if key != bucket or len(held) > HELD_WORDS:
+                    bucket, held = key, {}
+                ids = []
+                for w in _unpack(packed):
+                    got = held.get(w)
+                    if got is None:
+                        got = held[w] = np.array(merge_word(w, ranks.value), "<u4").tobytes()
+                    ids.append(got)
+                made.append(_pack_words(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("words"), pa.array(made, pa.binary())], ["block", "words", "data"])
 
     def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches):
-            data = _pack(rows, [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts])
-            yield pa.RecordBatch.from_arrays([pa.array([_block_of(rows)], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
+            encoded = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+            data = _pack([-1 if t is None else len(t) for t in encoded], [t for t in encoded if t])
+            yield pa.RecordBatch.from_arrays([pa.array([_block_of(rows)], pa.int64()), pa.array([struct.pack(f"<{len(rows)}q", *rows)], pa.binary()), pa.array([data], pa.binary())], ["block", "rows", "data"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {w: np.uint32(i).tobytes() for w, i in ranks.value.items()}
-        spelled = [b""] * (max(ranks.value.values(), default=-1) + 1)
+        table, spelled = {}, [b""] * (max(ranks.value.values(), default=-1) + 1)
         for w, i in ranks.value.items():
             spelled[i] = w
+            try:
+                table[w.decode()] = np.uint32(i).tobytes()
+            except UnicodeDecodeError:
+                continue  # part of a character, never a whole word
         current, own = None, {}
         for batch in batches:
-            for block, word, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, packed, rows, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != current:
-                    current, own = block, {}
-                if data is None:
-                    own[word] = ids
+                    current, own = block, dict(table)
+                if rows is None:
+                    own.update((w.decode("utf-8", "surrogatepass"), ids) for w, ids in zip(_unpack(packed), _unpack(data), strict=True))
                     continue
                 out: list[list] = [[], [], [], []]
-                cache: dict[str, bytes] = {}
-                for row, text in _unpack(data):
-                    parts = []
-                    for w in find.findall(text.decode("utf-8", "surrogatepass")) if text else ():
-                        got = cache.get(w)
-                        if got is None:
-                            b = w.encode("utf-8", "surrogatepass")
-                            got = cache[w] = table.get(b) or own[b]
-                        parts.append(got)
-                    joined = b"".join(parts)
+                for row, text in zip(struct.unpack(f"<{len(rows) // 8}q", rows), _unpack(data), strict=True):
+                    joined = b"".join(map(own.__getitem__, find.findall(text.decode("utf-8", "surrogatepass")))) if text else b""
                     ids = np.frombuffer(joined, "<u4")
                     decoded = b"".join(map(spelled.__getitem__, ids.tolist()))
                     out[0].append(row)
@@ -157,11 +175,14 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 if out[0]:
                     yield _batch(out, digest)
 
-    pairs = source.mapInArrow(words, "block bigint, word binary")
-    encoded = pairs.select("word").distinct().mapInArrow(once, "word binary, ids binary")
-    joined = pairs.join(encoded, "word").select("block", "word", "ids", F.lit(None).cast("binary").alias("data"))
-    packed = source.mapInArrow(payloads, "block bigint, data binary").select("block", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("binary").alias("ids"), "data")
-    together = joined.unionByName(packed).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", F.col("data").isNotNull())
+    n = shuffle_partitions(spark)
+    buckets = 4 * n
+    shares = source.mapInArrow(words, "bucket int, block bigint, words binary")
+    encoded = shares.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(once, "block bigint, words binary, data binary")
+    texts = source.mapInArrow(payloads, "block bigint, rows binary, data binary")
+    columns = ["block", "words", "rows", "data"]
+    both = encoded.withColumn("rows", F.lit(None).cast("binary")).select(columns).unionByName(texts.withColumn("words", F.lit(None).cast("binary")).select(columns))
+    together = both.repartition(n, "block").sortWithinPartitions("block", F.col("rows").isNotNull())
     out = together.mapInArrow(assemble, "row bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "row bigint, ids array<int>, round_trip boolean")
     name = F.when(F.col("row") != -(1 << 63) + 1, F.col("row")).alias(id_col)
     return out.select(name, *out.columns[1:])

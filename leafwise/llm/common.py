@@ -30,7 +30,7 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts the lineage and survives a lost executor."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/leafwise-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

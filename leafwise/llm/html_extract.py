@@ -7,8 +7,9 @@ marks its main content (article or main), the blocks in it stay: that branch has
 The pages of a host are merged to a style tree: for each path, how many pages hold which content and which sequence of
 child tags. A path's importance is one less the normalised entropy with which its contents spread over pages, mixed
 with the entropy of its presentation. On pages that do not mark their main content, branches below ``least`` go.
-Contents are counted by (host, path, content), so a hot host is spread by its contents; each host's list of unimportant
-paths, bounded by its templates, is joined to its pages.
+Contents are counted by (host, path, content), so a hot host is spread by its contents, and as 64-bit hashes, so that no
+text is shuffled for it. Each host's list of unimportant paths, bounded by its templates, is joined to those of its
+pages that do not mark their main content; a host's pages are salted for that.
 """
 
 from __future__ import annotations
@@ -126,8 +127,10 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-BLOCK = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
-NODE = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.bool_()), ("hash", pa.int64())]))
+BLOCK = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string())]))
+NODE = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.bool_()), ("hash", pa.int64())]))
+#: Parts of a host's pages that each meet its list of paths.
+SALTS = 16
 
 
 def _hash(text: str) -> int:
@@ -139,24 +142,26 @@ def parse_pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
         texts, open_blocks, nodes, hosts = [], [], [], []
         for page, url in zip(chunk.column("html").to_pylist(), chunk.column("url").to_pylist(), strict=True):
             blocks, shapes = parse(page or "")
+            own = host(url)
+            node = {p: _hash(f"{own}\0{p}") for p in {b[0] for b in blocks} | {s[0] for s in shapes}}
             wanted = [b for b in blocks if not b[3]]
             marked = [b for b in wanted if b[2]]
             texts.append(" ".join(b[1] for b in marked) if marked else None)
-            open_blocks.append([] if marked else [{"path": b[0], "text": b[1]} for b in wanted])
-            outside = {(b[0], True, _hash(b[1])) for b in blocks if not b[2]} | {(p, False, _hash(c)) for p, c in shapes}
-            nodes.append([{"path": p, "kind": k, "hash": h} for p, k, h in sorted(outside)])
-            hosts.append(host(url))
-        return {"host": pa.array(hosts, pa.string()), "text": pa.array(texts, pa.string()), "blocks": pa.array(open_blocks, BLOCK), "nodes": pa.array(nodes, NODE)}
+            open_blocks.append([] if marked else [{"node": node[b[0]], "text": b[1]} for b in wanted])
+            outside = {(node[b[0]], True, _hash(b[1])) for b in blocks if not b[2]} | {(node[p], False, _hash(c)) for p, c in shapes}
+            nodes.append([{"node": p, "kind": k, "hash": h} for p, k, h in sorted(outside)])
+            hosts.append(_hash(own))
+        return {"host": pa.array(hosts, pa.int64()), "text": pa.array(texts, pa.string()), "blocks": pa.array(open_blocks, BLOCK), "nodes": pa.array(nodes, NODE)}
 
     source = df.select(df[id_col].alias("page_id"), df[url_col].alias("url"), df[html_col].alias("html"))
     kind = source.schema["page_id"].dataType.simpleString()
-    return mapped(source, kernel, "html", f"page_id {kind}, url string, host string, text string, blocks array<struct<path:string,text:string>>, nodes array<struct<path:string,kind:boolean,hash:bigint>>", ("page_id", "url"))
+    return mapped(source, kernel, "html", f"page_id {kind}, url string, host bigint, text string, blocks array<struct<node:bigint,text:string>>, nodes array<struct<node:bigint,kind:boolean,hash:bigint>>", ("page_id", "url"))
 
 
 def style_tree(parsed: DataFrame, gamma: float = 0.9) -> DataFrame:
-    """(host, path, pages, importance) of the merged tree of each host's pages."""
-    held = parsed.select("host", F.explode("nodes").alias("n")).groupBy("host", "n.path", "n.kind", "n.hash").agg(F.count(F.lit(1)).alias("df"))
-    sums = held.groupBy("host", "path").agg(
+    """(host, node, pages, importance) of the merged tree of each host's pages; hosts and paths as hashes."""
+    held = parsed.select("host", F.explode("nodes").alias("n")).groupBy("host", "n.node", "n.kind", "n.hash").agg(F.count(F.lit(1)).alias("df"))
+    sums = held.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind"), F.col("df"))).alias("held"),
         F.sum(F.when(F.col("kind"), F.col("df") * F.log("df"))).alias("spread"),
         F.sum(F.when(~F.col("kind"), F.col("df"))).alias("shaped"),
@@ -166,7 +171,7 @@ def style_tree(parsed: DataFrame, gamma: float = 0.9) -> DataFrame:
     size = F.log(F.greatest(F.col("pages"), F.lit(2)))
     content = F.coalesce(1 - F.col("spread") / (F.col("held") * size), F.lit(1.0))
     shape = F.coalesce((F.log("shaped") - F.col("shapes") / F.col("shaped")) / size, F.lit(0.0))
-    return sums.join(pages, "host").select("host", "path", "pages", (gamma * content + (1 - gamma) * shape).alias("importance"))
+    return sums.join(pages, "host").select("host", "node", "pages", (gamma * content + (1 - gamma) * shape).alias("importance"))
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.35, least_pages: int = 8) -> DataFrame:
@@ -177,8 +182,9 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     as browsers do, roughly. Hosts of under ``least_pages`` pages say too little for their style tree to drop anything."""
     parsed = stored(parse_pages(df, id_col, url_col, html_col))
     low = style_tree(parsed).where((F.col("importance") < least) & (F.col("pages") >= least_pages))
-    low = low.groupBy("host").agg(F.collect_set("path").alias("low")).withColumnRenamed("host", "h")
-    joined = parsed.drop("nodes").join(low, F.col("host") == F.col("h"), "left")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("low", b["path"]), F.lit(False)))
-    text = F.coalesce("text", F.concat_ws(" ", F.transform(kept, lambda b: b["text"])))
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    low = low.groupBy("host").agg(F.collect_set("node").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    whole = parsed.where("text is not null").select("page_id", "url", "text")
+    unmarked = parsed.where("text is null").drop("nodes").withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int"))
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("low", b["node"]), F.lit(False)))
+    pruned = unmarked.join(low, ["host", "salt"], "left").select("page_id", "url", F.concat_ws(" ", F.transform(kept, lambda b: b["text"])).alias("text"))
+    return whole.unionByName(pruned).withColumn("n_chars", F.length("text").cast("bigint"))

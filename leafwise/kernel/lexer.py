@@ -92,7 +92,7 @@ _FAST = json.JSONDecoder(object_pairs_hook=Obj, parse_float=_float, parse_consta
 
 def number(text: str, start: int) -> int | float:
     """An integer in the 64-bit ranges, else a double."""
-    if "." not in text and "e" not in text and "E" not in text and (text != "-0"):
+    if "." not in text and "e" not in text and "E" not in text:
         value = int(text)
         if -(1 << 63) <= value < 1 << 64:
             return value

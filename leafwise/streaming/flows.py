@@ -29,7 +29,7 @@ def flatten_stream(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
 
 def windowed_values(df: DataFrame, col: str, time: str, keys: list[str], late: str = "1 hour", window: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Leaves counted and summed by window, keys and path. Rows later than ``late`` behind the watermark are left out."""
-    marked = df.withWatermark(time, late)
+    marked = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     rows = flatten_rows(marked, col, [time, *keys])
     frame = F.window(time, window, slide) if slide else F.window(time, window)
     number = F.col("value").try_cast("double")
@@ -38,7 +38,7 @@ def windowed_values(df: DataFrame, col: str, time: str, keys: list[str], late: s
 
 def session_counts(df: DataFrame, time: str, keys: list[str], gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Rows by session of activity."""
-    return df.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
 def route(df: DataFrame, col: str, schema: Schema, good: str, bad: str, checkpoint: str, once: bool = True) -> StreamingQuery:

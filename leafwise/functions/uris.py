@@ -24,14 +24,12 @@ def match_uri(a: Column, b: Column, full: bool = True) -> Column:
 
 def remove_dots(path: Column) -> Column:
     """RFC 3986 section 5.2.4, as a fold over the segments."""
-    segments = F.split(path, "/", -1)
-    last = F.element_at(segments, -1)
-    empty = F.array().cast("array<string>")
-    step = lambda out, s: F.when(s == ".", out).when(s == "..", F.when((F.size(out) > 1) | ((F.size(out) == 1) & (F.get(out, F.lit(0)) != "")), F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)).otherwise(F.concat(out, F.array(s)))
-    kept = F.aggregate(segments, empty, step)
-    ends = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
-    joined = F.concat(F.array_join(kept, "/"), ends)
-    return F.when(~path.contains("."), path).otherwise(F.when(path.startswith("/") & ~joined.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined))
+    absolute = path.startswith("/")
+    segments = F.split(F.when(absolute, F.substring(path, 2, 2147483647)).otherwise(path), "/", -1)
+    step = lambda out, s: F.when(s == ".", out).when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(s)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(~path.contains("."), path).otherwise(F.concat(F.when(absolute, "/").otherwise(""), F.array_join(ended, "/")))
 
 
 def resolve_uri(reference: Column, base: Column) -> Column:

@@ -77,8 +77,37 @@ def scalar(value, flags: WriteFlags = DEFAULT) -> str:
     raise WriteError("NaN and infinities have no JSON form")
 
 
+#: Levels that the recursive writer goes down; deeper values take the writer with a stack of its own.
+SHALLOW = 100
+
+
+class _Deep(Exception):
+    pass
+
+
+def _compact(value, flags: WriteFlags, room: int) -> str:
+    kind = type(value)
+    if kind is str:
+        return f'"{value}"' if not flags.ascii_only and not _SPECIAL.search(value) else quote(value, flags.ascii_only)
+    if kind is int:
+        return str(value)
+    if kind is not Obj and kind is not list:
+        return scalar(value, flags)
+    if not room:
+        raise _Deep
+    room -= 1
+    if kind is list:
+        return "[" + ",".join([_compact(v, flags, room) for v in value]) + "]"
+    return "{" + ",".join([f"{_compact(k, flags, 1)}:{_compact(v, flags, room)}" for k, v in value]) + "}"
+
+
 def dumps(value, indent: str | None = None, single_line_arrays: bool = False, flags: WriteFlags = DEFAULT) -> str:
-    """Compact text, or with ``indent`` (what a level adds) on lines of its own. No recursion: any depth can be written."""
+    """Compact text, or with ``indent`` (what a level adds) on lines of its own. Any depth can be written."""
+    if indent is None:
+        try:
+            return _compact(value, flags, SHALLOW)
+        except _Deep:
+            pass
     out: list[str] = []
     put = out.append
     work: list = [value]

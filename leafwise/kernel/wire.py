@@ -35,22 +35,11 @@ class Field:
     extension: bool = False
     owner: str = ""
 
-    @property
-    def repeated(self) -> bool:
-        return self.label == "repeated"
-
-    @property
-    def required(self) -> bool:
-        return self.label == "required"
-
-    @property
-    def full_name(self) -> str:
-        return f"{self.owner}.{self.name}"
-
-    @property
-    def cls(self) -> str:
-        """int32, int64, uint32, uint64, float, double, bool, enum, string, bytes or message."""
-        return CLASSES.get(self.kind, self.kind)
+    def __post_init__(self):
+        """``cls``: int32, int64, uint32, uint64, float, double, bool, enum, string, bytes or message."""
+        own = {"repeated": self.label == "repeated", "required": self.label == "required", "full_name": f"{self.owner}.{self.name}", "cls": CLASSES.get(self.kind, self.kind)}
+        for k, v in own.items():
+            object.__setattr__(self, k, v)
 
 
 @dataclass
@@ -75,6 +64,8 @@ class Message:
     def index(self) -> None:
         self.by_number = {f.number: f for f in [*self.extensions, *self.fields]}
         self.by_name = {f.name: f for f in [*self.extensions, *self.fields]}
+        self.numbers = sorted(self.by_number)
+        self.is_any = [(f.name, f.cls) for f in self.fields] == [("type_url", "string"), ("value", "bytes")]
 
     @property
     def name(self) -> str:
@@ -85,6 +76,7 @@ class Pool:
     def __init__(self):
         self.messages: dict[str, Message] = {}
         self.enums: dict[str, Enum] = {}
+        self.plans: dict = {}
 
     @classmethod
     def declare(cls, spec: dict, proto3: bool = False) -> Pool:
@@ -208,7 +200,7 @@ def is_map(f: Field, pool: Pool) -> bool:
 
 def is_any(desc: Message) -> bool:
     """Exactly a string ``type_url`` and bytes ``value``."""
-    return len(desc.fields) == 2 and [(f.name, f.cls) for f in desc.fields] == [("type_url", "string"), ("value", "bytes")]
+    return desc.is_any
 
 
 def _varint(data, at: int) -> tuple[int, int]:
@@ -240,11 +232,14 @@ def _from_varint(kind: str, raw: int):
 
 
 def decode(data: bytes, desc: Message, pool: Pool) -> Msg:
-    out, at, data = Msg(desc, pool), 0, memoryview(data)
+    out, at, data = Msg(desc, pool), 0, bytes(data)
     unknown = bytearray()
     while at < len(data):
         begun = at
-        tag, at = _varint(data, at)
+        if (tag := data[at]) < 128:
+            at += 1
+        else:
+            tag, at = _varint(data, at)
         number, wire = tag >> 3, tag & 7
         f = desc.by_number.get(number)
         if wire == 0:
@@ -253,7 +248,10 @@ def decode(data: bytes, desc: Message, pool: Pool) -> Msg:
             end = at + (8 if wire == 1 else 4)
             raw, at = data[at:end], end
         elif wire == 2:
-            size, at = _varint(data, at)
+            if at < len(data) and (size := data[at]) < 128:
+                at += 1
+            else:
+                size, at = _varint(data, at)
             raw, at = data[at : at + size], at + size
         else:
             raise WireError(f"wire type {wire} is not supported")
@@ -272,9 +270,9 @@ def _take(out: Msg, f: Field, wire: int, raw) -> bool:
     elif f.kind in WIRE and wire == WIRE[f.kind][0]:
         values = [struct.unpack(WIRE[f.kind][1], raw)[0]]
     elif wire == 2 and f.kind == "string":
-        values = [bytes(raw).decode("utf-8", "surrogateescape")]
+        values = [raw.decode("utf-8", "surrogateescape")]
     elif wire == 2 and f.kind == "bytes":
-        values = [bytes(raw)]
+        values = [raw]
     elif wire == 2 and f.kind == "message":
         made = decode(raw, out.pool.message(f.type_name), out.pool)
         if not f.repeated and f.name in out.values:
@@ -335,7 +333,7 @@ def _put(out: bytearray, f: Field, value) -> None:
 def encode(message: Msg) -> bytes:
     """Fields by number, then what was unknown."""
     out = bytearray()
-    for number in sorted(message.desc.by_number):
+    for number in message.desc.numbers:
         f = message.desc.by_number[number]
         if f.name not in message.values or not message.has(f.name):
             continue

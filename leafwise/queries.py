@@ -480,7 +480,8 @@ def json_to_pb_errors(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     """Documents of an event stream flattened and summed by hour, with a watermark; run to the end of what is there."""
     events = table(spark, sf_dir, "events")
-    stream = flows.read_table(spark, f"{sf_dir}/events.parquet", events)
+    # a pattern, since a plain path of a stream has to be a folder
+    stream = flows.read_table(spark, f"{sf_dir}/events.parque[t]", events)
     path = shared_path(spark)
     return flows.run_to_table(flows.windowed_values(stream, "props", "ts", ["event_type"], late="36500 days"), f"{path}/out", f"{path}/checkpoint", "complete")
 

@@ -21,8 +21,11 @@ UPPER, LOWER, MARKS = bytes(range(65, 91)), bytes(range(97, 123)), b"!?"
 WINDOW = 8
 #: Frequent function words of several languages; texts of none of them get no vote against them.
 STOPWORDS = frozenset(w.encode() for w in "the of and to in is that for was with der die und das ist von mit zu den nicht de la le et les des en un une que el los por con del se las y".split())
-#: Most good texts that a rule may vote against; keeps the classes from changing sides.
-MOST_WRONG = 0.002
+#: Most good texts that a rule may vote against; keeps the classes from changing sides. Lines and passages that come
+#: again are found in good texts too (refrains, forms), symbols and capitals hardly.
+MOST_WRONG, MOST_REPEATED = 0.002, 0.03
+#: Rules whose abstention says nothing: they vote either way where they can judge.
+SILENT = ("length", "word_size", "variety")
 RULES = ("length", "symbols", "lines", "repeats", "word_size", "capitals", "marks", "stopwords", "variety")
 
 
@@ -115,8 +118,12 @@ def fit_votes(patterns: dict[str, int], rounds: int = 100, prior: float = 0.85)
         for j in range(v.shape[1]):
             table = np.stack([np.bincount(v[:, j], w, 3) for w in weights]) + np.array([[1.0, 1.0, 0.5], [0.2, 1.0, 1.5]])
             table /= table.sum(1, keepdims=True)
-            table[1, 0] = min(table[1, 0], MOST_WRONG)
-            log += np.log(table)[:, v[:, j]]
+            most = MOST_REPEATED if RULES[j] in ("lines", "repeats") else MOST_WRONG
+            table[1, 0] = max(table[1, 0], most) if most == MOST_REPEATED else min(table[1, 0], most)
+            told = np.log(table)[:, v[:, j]]
+            if RULES[j] in SILENT:
+                told = np.where(v[:, j] == 1, 0.0, told - np.log(1 - table[:, 1:2]))
+            log += told
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))
         if np.abs(new - post).max() < 1e-9:
             break

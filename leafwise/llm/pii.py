@@ -35,7 +35,11 @@ PATTERNS = {
 }
 #: A text in which this is not found has no match; a cheap search saves the others.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "secret": "[=:]", "iban": "[A-Z]{2}[0-9]", "handle": "@[A-Za-z]"}
-SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+SPANS = "array<struct<kind:string,start:int,end:int,shape:int,gazetteer:int,context:int,size:int>>"
+
+#: Matches whose places are summed up before they join those before: an array grows by copies, so a text of many
+#: matches would else take time with their square.
+BLOCK = 256
 
 GAZETTEER_FOR = ("gmail", "yahoo", "hotmail", "outlook", "example", "mail")
 GAZETTEER_AGAINST = ("127.0.0.1", "0.0.0.0", "255.255.255.255", "changeme", "password", "xxxxxxxx", "noreply", "no-reply", "todo", "none")
@@ -82,34 +86,35 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def matches(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, value>> of the valid matches of one kind."""
+    """The valid matches of one kind, with the votes of the three labelers and a size class.
+
+    The context is the end of the gap before the match, so that it costs no search through the text."""
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    lengths = F.transform(found, lambda m: F.length(m))
-    gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda g: F.length(g))
-    both = F.arrays_zip(gaps.alias("g"), lengths.alias("m"), found.alias("v"))
+    pieces = F.transform(F.split(text, PATTERNS[kind], -1), lambda g: F.struct(F.length(g).alias("size"), F.substring(g, -CONTEXT_CHARS, CONTEXT_CHARS).alias("end")))
+    both = F.arrays_zip(pieces.alias("g"), found.alias("v"))
     none = F.array().cast(SPANS)
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["g"]
-        end = start + F.coalesce(x["m"], F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["v"].alias("value"))
+        start = state["at"] + x["g"]["size"]
+        end = start + F.coalesce(F.length(x["v"]), F.lit(0))
+        votes = (shape_vote(F.lit(kind), x["v"]).alias("shape"), gazetteer_vote(F.lit(kind), x["v"]).alias("gazetteer"), context_vote(F.lit(kind), F.lower(x["g"]["end"])).alias("context"))
+        size = F.least(F.floor(F.log2(F.length(x["v"]).cast("double"))).cast("int"), F.lit(7))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), *votes, size.alias("size"))
         out = F.when(x["v"].isNotNull() & valid(kind, x["v"]), F.concat(state["out"], F.array(span))).otherwise(state["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    return F.when(text.isNotNull() & text.rlike(NEEDS[kind]), F.aggregate(both, begin, step, lambda x: x["out"])).otherwise(none)
+    def block(state: Column, k: Column) -> Column:
+        done = F.aggregate(F.slice(both, k * BLOCK + 1, F.lit(BLOCK)), F.struct(state["at"].alias("at"), none.alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(state["out"], done["out"]).alias("out"))
 
+    blocks = F.sequence(F.lit(0), F.floor((F.size(both) - 1) / BLOCK).cast("int"))
+    spans = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda x: x["out"])
+    return F.when(text.isNotNull() & text.rlike(NEEDS[kind]), spans).otherwise(none)
 
-def candidates(text: Column) -> Column:
-    """All kinds' matches with the votes of the three labelers and a size class."""
-    spans = F.concat(*[matches(text, k) for k in KINDS])
 
-    def judge(x: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(F.lit(1), x["start"] + 1 - CONTEXT_CHARS), F.least(F.lit(CONTEXT_CHARS), x["start"])))
-        size = F.floor(F.log2(F.length(x["value"]).cast("double"))).cast("int")
-        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), shape_vote(x["kind"], x["value"]).alias("shape"), gazetteer_vote(x["kind"], x["value"]).alias("gazetteer"), context_vote(x["kind"], before).alias("context"), F.least(size, F.lit(7)).alias("size"))
-
-    return F.transform(spans, judge)
+def candidates(text: Column) -> Column:
+    """All kinds' matches with their votes."""
+    return F.concat(*[matches(text, k) for k in KINDS])
 
 
 def _by_kind(kind: Column, of: dict[str, Column]) -> Column:

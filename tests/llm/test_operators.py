@@ -108,6 +108,13 @@ def test_personal_data(docs, rows, none):
     assert {k: v for k, v in clean.items() if not spans[k]} == {r[0]: r[1] for r in rows if not spans[r[0]]}
 
 
+def test_many_matches_in_one_text(spark):
+    text = "é a@b.cd +49 30 1234567 1.2.3.4 " * 4_000
+    row = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    told = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in base_spans(text))
+    assert row.n_email == 4_000 and row.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+
+
 def test_patterns_find_the_same_as_the_plain_ones(spark):
     rng = np.random.default_rng(3)
     made = [(i, "".join(rng.choice(list("a.@-+1 0(:,é9"), 60))) for i in range(400)]

@@ -134,6 +134,11 @@ def format_double(col: Column | str, max_decimals: int | None = None) -> Column:
     return kernel(lambda d: _format_double(d, max_decimals) if d - d == 0 else None, "string", col)
 
 
+def map_document(col: Column | str, function, returns: str = "string", flags: ParseFlags = PLAIN) -> Column:
+    """An own function of each parsed document; one that returns a document returns its text (``emit.dumps``)."""
+    return _edited(col, function, flags, returns)
+
+
 # Reading and editing values
 
 

@@ -29,6 +29,8 @@ class WriteFlags:
 
 @dataclass(frozen=True)
 class PbToJson:
+    """``standard`` follows the public JSON mapping: camel-case names, 64-bit integers and odd doubles as strings."""
+
     enum_by_name: bool = True
     pretty: bool = False
     maps: bool = True
@@ -37,6 +39,7 @@ class PbToJson:
     always_print: bool = False
     single_repeated_to_array: bool = False
     at_type: bool = False
+    standard: bool = False
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafwise.functions import documents as D, encodings, names, protos, schemas, uris, variants as V
+from leafwise.functions import documents as D, encodings, names, protos, schemas, sql, uris, variants as V
 from leafwise.kernel.wire import Pool
 from leafwise.operators import documents as O
 from leafwise.plans import messages, paths
@@ -282,6 +282,22 @@ def message_reader(spark, sf_dir):
     return docs.select("o_orderkey", m["status"].alias("status"), m["cust"].alias("cust"))
 
 
+@query("SELECT o_orderkey, o_orderstatus AS status, o_custkey AS cust, 2::bigint AS n FROM orders")
+def archive_round_trip(spark, sf_dir):
+    """Structs to JSON and back by their type."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("cust"), F.array(F.lit(1), F.lit(2)).alias("xs")).alias("s"))
+    back = rows.select("o_orderkey", F.from_json(F.to_json("s"), rows.schema["s"].dataType).alias("s"))
+    return back.select("o_orderkey", "s.status", "s.cust", F.size("s.xs").cast("bigint").alias("n"))
+
+
+@query("SELECT event_id, 'k' AS path, json_extract(props, '/k')::varchar AS value, '{\"k\":' || json_extract(props, '/k') || '}' AS doc, true AS valid FROM events")
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions and table functions."""
+    sql.register(spark)
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    return spark.sql("SELECT e.event_id, f.path, f.value, lw_condense(e.props) AS doc, lw_is_json(e.props) AS valid FROM {events} e, LATERAL lw_flatten(e.props) f", events=events)
+
+
 # Parsing
 
 

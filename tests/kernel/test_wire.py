@@ -60,6 +60,11 @@ def test_the_public_library_reads_the_same_bytes():
     assert json_format.Parse(dumps(to_json(own)), type(made)()) == made
 
 
+def test_standard_mapping():
+    message, _ = whole('{"id":1,"u":"7","person_name":"p","d":"NaN"}')
+    assert dumps(to_json(message, PbToJson(standard=True))) == '{"id":1,"u":"7","d":"NaN","personName":"p"}'
+
+
 def test_descriptor_set_of_the_descriptor_set():
     out = Msg(_BOOT.messages["FileDescriptorSet"], _BOOT)
     assert Pool.from_descriptor_set(encode(out)).messages == {}

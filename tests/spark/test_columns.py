@@ -201,3 +201,22 @@ def test_streams(spark, tmp_path):
     assert {(r.code, r.n) for r in counts.collect()} == {("None", 3), ("ValueInvalid", 1)}
     flat = flows.run_to_table(flows.flatten_stream(flows.read_lines(spark, str(tmp_path / "in")), "doc", ["doc"]), str(tmp_path / "flat"), str(tmp_path / "c3"))
     assert {r.value for r in flat.collect()} == {"1", "x", "5"}
+
+
+def test_sql_functions(spark, docs):
+    from leafwise.functions import sql
+
+    sql.register(spark)
+    docs.createOrReplaceTempView("sql_docs")
+    one = spark.sql("SELECT lw_pointer(doc, '/a/b/0') p, lw_kind(doc) k, lw_parse_error(doc) e, lw_sort_keys(doc) s FROM sql_docs ORDER BY id").collect()
+    assert [r.p for r in one][2] == "1" and one[6].k == "array" and one[4].e == "ArrayMissCommaOrSquareBracket" and one[0].s is None
+    assert spark.sql("SELECT count(*) FROM sql_docs, LATERAL lw_tokens(doc) t WHERE id = 5").first()[0] == 8
+    assert [r.doc for r in spark.sql("SELECT t.doc FROM lw_split_docs('1 [2]') t ORDER BY doc_idx").collect()] == ["1", "[2]"]
+    assert spark.sql("SELECT count(*) FROM sql_docs, LATERAL lw_traverse(doc) t WHERE id IN (0, 1, 6)").first()[0] == 3
+
+
+def test_own_functions_of_documents(docs):
+    from leafwise.kernel.emit import dumps
+
+    assert column(docs, D.map_document("doc", lambda v: len(v), "int"))[2] == 4
+    assert column(docs, D.map_document("doc", lambda v: dumps(v[0]) if type(v) is list else None))[6] == '{"a":1}'

@@ -38,12 +38,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def without(df: DataFrame, *names: str) -> list[str]:
-    """``df``'s columns but those in ``names``, which an operator is about to add."""
-    low = {n.lower() for n in names}
-    return [c for c in df.columns if c.lower() not in low]
-
-
 def binary(column: pa.Array) -> pa.Array:
     """The UTF-8 bytes of a string array; no copy."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())

@@ -235,8 +235,9 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col
     return fit(training_sample(df, lang_col, text_col, key_col, max_docs, max_chars))
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``lang_pred``, ``score``, ``cross_entropy`` and ``rejected``, in one narrow pass.
+def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """``keep`` columns, ``lang_pred``, ``score``, ``cross_entropy`` and ``rejected``, in one narrow pass; ``prefix``
+    comes before the new names, for tables that have such columns.
 
     A null text, or one without letters, is ``und`` with score 0 and rejected. Equal scores go to the first language
     in code point order. The broadcast model is bounded by the training sample."""
@@ -245,8 +246,8 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     def kernel(chunk: pa.RecordBatch) -> dict:
         got = shared.value.score(chunk.column(text_col).to_pylist())
         kinds = (("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("rejected", pa.bool_()))
-        return {name: pa.array([g[k] for g in got], kind) for k, (name, kind) in enumerate(kinds)}
+        return {prefix + name: pa.array([g[k] for g in got], kind) for k, (name, kind) in enumerate(kinds)}
 
     source = df.select(*dict.fromkeys([*keep, text_col]))
     schema = "".join(f"`{k}` {source.schema[k].dataType.simpleString()}, " for k in keep)
-    return mapped(source, kernel, text_col, schema + "lang_pred string, score double, cross_entropy double, rejected boolean", keep)
+    return mapped(source, kernel, text_col, schema + f"{prefix}lang_pred string, {prefix}score double, {prefix}cross_entropy double, {prefix}rejected boolean", keep)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from leafwise.llm.common import stored, without
+from leafwise.llm.common import stored
 
 WEIGHTS = (3, 1, 2)
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -105,5 +105,6 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", **options) -> DataFra
     """The documents of the mix, each once for every round of the tape that takes words of it; ``df``'s columns."""
     takes = mix(df, id_col, **options).select(F.col("doc_id").alias("__id"), ((F.col("taken_1") > 0).cast("int") + (F.col("taken_2") > 0).cast("int")).alias("__n"))
     takes = takes.where("__n > 0").groupBy("__id").agg(F.max("__n").alias("__n"))
-    out = df.join(takes, df[id_col].eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__n"))))
-    return out.select(*[df[c] for c in without(df)])
+    copy = next(n for n in ("__copy" + "_" * k for k in range(len(df.columns) + 1)) if n not in {c.lower() for c in df.columns})
+    out = df.join(takes, df[id_col].eqNullSafe(takes["__id"])).select(*[df[c] for c in df.columns], F.explode(F.array_repeat(F.lit(1), takes["__n"])).alias(copy))
+    return out.select(*df.columns)

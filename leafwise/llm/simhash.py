@@ -147,4 +147,4 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``df`` with one row of each component: that of the smallest id. Rows of a null id are kept."""
     found = near_duplicates(df, id_col, text_col)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return df.join(gone, df[id_col] == F.col("__id"), "left_anti")
+    return df.join(gone, df[id_col] == gone["__id"], "left_anti")

@@ -32,3 +32,41 @@ def test_stages(spark, tmp_path):
         assert r.round_trip and r.ids == plain.encode_ordinary(texts[r.doc_id])
     assert frames["byte_bpe"].count() == frames["source_mix"].count()
     assert pii.BASE
+
+
+EDGES = "doc_id bigint, text string, lang string, source string, n_chars bigint, rejected string, lang_pred int, __n int, Score double, ids string"
+WORDS = "the old house of the river and a small boat that was for sale near this bridge in the town".split()
+
+
+def edge_rows():
+    line = lambda k: " ".join(WORDS[(k * 7 + i * (k % 5 + 1)) % len(WORDS)] + "aeiou"[(k + i) % 5] for i in range(60))
+    made = [(k, line(k), "en", ["a", "b", None][k % 3], 1, "r", 1, 2, 0.5, "i") for k in range(40)]
+    same = made[3]
+    extra = [(100, None, "en", "a", None, None, None, None, None, None), (101, "", None, "a", 0, None, None, None, None, None), (102, "12 34", "en", None, 5, None, None, None, None, None), (103, same[1], "en", "b", 2, None, None, None, None, None), (104, "write to a.b@mail.org " + made[5][1], "en", "b", 2, None, None, None, None, None), (105, (line(6) + " ") * 1500, "en", "c", 2, None, None, None, None, None), (None, line(50), None, None, None, None, None, None, None, None)]
+    return [*made, same, *extra]
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    docs = spark.createDataFrame(edge_rows(), EDGES)
+    held, frames = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, held, "")
+        out.write.parquet(f"{tmp_path}/{name}")
+        held = frames[name] = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "byte_bpe":
+            assert held.columns == docs.columns
+    known = {r.doc_id for r in frames["language_id"].collect()}
+    assert known >= set(range(40)) | {103, 104, None} and not known & {100, 101, 102}
+    single = [r.doc_id for r in frames["simhash_near_dedup"].collect()]
+    assert 3 in single and 103 not in single and None in single
+    clean = {r.doc_id: r for r in frames["pii"].collect()}
+    assert all(r.n_chars == len(r.text) for r in clean.values()) and "a.b@mail.org" not in str(clean)
+    assert frames["byte_bpe"].count() == frames["source_mix"].count() and frames["byte_bpe"].where("not round_trip").count() == 0
+
+
+def test_stages_take_nulls_and_empty_tables(spark):
+    docs = spark.createDataFrame(edge_rows(), EDGES)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        got = stage(spark, docs, "").count()
+        assert got == docs.count() if name in ("pii", "byte_bpe") else got > 0, name

@@ -13,29 +13,43 @@ from leafwise.llm.common import stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language the models know; models are fitted on a bounded sample of the labelled rows."""
-    judged = langid.predict(docs, langid.train(docs), keep=tuple(docs.columns))
-    return judged.where("not rejected").select(*docs.columns)
+    """Documents of a language the models know; models are fitted on a bounded sample of the labelled rows.
+
+    Null, empty and letterless texts are of no language and go; with no labelled row all go. Repeated rows and null ids
+    are judged alike; an empty table stays empty; further columns stay, whatever their names."""
+    judged = langid.predict(docs, langid.train(docs), keep=tuple(docs.columns), prefix="__judged_")
+    return judged.where("not __judged_rejected").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest id.
+
+    Rows of one id stay or go together, those of a null id stay; texts without words are one group. An empty table stays
+    empty; further columns stay."""
     return simhash.deduplicated(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind."""
+    """Personal data replaced by its kind; n_chars follows.
+
+    Null texts stay null and empty ones empty; rows, ids and further columns stay as they are. An empty table stays
+    empty."""
     clean = pii.redact(docs)
     return clean.select(*[F.length("text").cast(clean.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once for each round."""
+    """The documents that the mix takes, once for each round.
+
+    Null texts and those without words have size 0 and are not taken; null sources form one source. Rows of one id are
+    taken alike. An empty table stays empty; further columns stay."""
     return mixing.mixed_documents(docs).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and whether they decode to the text."""
+    """doc_id, n_tokens, ids and whether they decode to the text.
+
+    A null text has no ids; repeated rows and null ids stay; an empty table stays empty; further columns are not read."""
     out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 

@@ -1,0 +1,96 @@
+"""Near copies by the Jaccard similarity of their sets of 5-word shingles.
+
+Candidates meet under band keys: each text has 36 keys, each of 5 minima of its shingles under multiplicative hashes. A
+pair of similarity s shares none with probability (1 - s^5)^36, at 0.8 that is 6 in 10 million. Candidates are verified by
+their sets of 64-bit shingle hashes.
+
+A key of more than ``few`` texts would make quadratically many pairs. There only the first text in order of ids is compared
+with the others; those found to be its copies leave, the rest go to the next round without it. So each text stays until it
+is linked to an earlier one, and two texts that stay have been compared if they share a key. What is left of crowded keys
+after ``rounds`` rounds is unlike each round's first text; it is compared pair by pair.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from leafwise.llm.common import binary, mapped, stored
+from leafwise.llm.sketch import shingle_hashes
+
+LEAST = 0.8
+BANDS, ROWS = 36, 5
+FACTORS, SHIFTS = np.random.default_rng(20).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band of a set's minima."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, hashes.size, 4096):
+        np.minimum(least, (FACTORS[:, None] * hashes[None, k : k + 4096] + SHIFTS[:, None]).min(1), out=least)
+    data, width = least.tobytes(), 8 * ROWS
+    return [xxhash.xxh3_64_intdigest(data[width * b : width * (b + 1)], b) - (1 << 63) for b in range(BANDS)]
+
+
+def shingled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, node, hashes, keys) of rows with an id and words; equal sets have equal nodes."""
+
+    def kernel(chunk: pa.RecordBatch) -> dict:
+        sets = [np.unique(shingle_hashes((t or b"").lower().split())) for t in binary(chunk.column("text")).to_pylist()]
+        nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if s.size else None for s in sets]
+        keys = [band_keys(s) if s.size else None for s in sets]
+        longs = pa.list_(pa.int64())
+        return {"node": pa.array(nodes, pa.int64()), "hashes": pa.array([s.view(np.int64) for s in sets], longs), "keys": pa.array(keys, longs)}
+
+    source = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).where("doc_id is not null")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return mapped(source, kernel, "text", f"doc_id {kind}, node bigint, hashes array<bigint>, keys array<bigint>", ("doc_id",)).where("node is not null")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are as similar as LEAST."""
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"set_{end}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    sizes = F.size("set_a") + F.size("set_b")
+    close = F.least(F.size("set_a"), F.size("set_b")) >= LEAST * F.greatest(F.size("set_a"), F.size("set_b"))
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(close & (common >= LEAST * (sizes - common))).select("a", "b")
+
+
+def copies(held: DataFrame, few: int = 16, rounds: int = 8) -> DataFrame:
+    """(b): nodes that are near copies of an earlier one, by smallest id; ``held`` as of ``shingled``, stored."""
+    first = stored(held.groupBy("node").agg(F.min("doc_id").alias("least")).select("node", F.struct("least", "node").alias("item")))
+    postings = held.select("node", F.explode("keys").alias("key"))
+    shared = postings.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+    postings = stored(postings.join(shared, "key", "left_semi").distinct().join(first, "node").select("key", "item"))
+    sets = stored(held.select("node", "hashes").join(postings.select("item.node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    out = None
+    for k in range(rounds + 1):
+        groups = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("lead")).where("n > 1"))
+        crowded = groups.where(F.col("n") > few) if k < rounds else groups.limit(0)
+        rest = postings.join(groups.where(F.col("n") <= few) if k < rounds else groups, "key").select("key", "item")
+        x, y = rest.alias("x"), rest.alias("y")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item"))).select(F.col("x.item.node").alias("a"), F.col("y.item.node").alias("b"))
+        stars = postings.join(crowded, "key").where("item <> lead").select("key", "item", "lead")
+        pairs = pairs.unionByName(stars.select(F.col("lead.node").alias("a"), F.col("item.node").alias("b"))).distinct()
+        found = stored(verified(pairs, sets).select("b").distinct())
+        out = found if out is None else out.unionByName(found)
+        if crowded.isEmpty():
+            break
+        postings = stored(stars.select("key", "item").join(found, F.col("item.node") == F.col("b"), "left_anti"))
+    return out.distinct()
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = 16, rounds: int = 8) -> DataFrame:
+    """``df`` without the rows whose text is a near copy of one with a smaller id.
+
+    Whatever goes is linked by near copies to a text that stays. Rows of one id stay or go together; those of a null id
+    and those without words stay. An empty table stays empty; further columns stay. The input is read twice."""
+    held = stored(shingled(df, id_col, text_col))
+    least = held.groupBy("node").agg(F.min("doc_id").alias("least"))
+    later = held.join(least, "node").where("doc_id <> least").select("doc_id")
+    gone = later.unionByName(held.join(copies(held, few, rounds), F.col("node") == F.col("b"), "left_semi").select("doc_id"))
+    gone = gone.select(F.col("doc_id").alias("__id")).distinct()
+    return df.join(gone, df[id_col] == gone["__id"], "left_anti")

@@ -29,9 +29,9 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9_/+=.-]{8,200}+",
+    "secret": r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9_/+=.-]{8,}+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "handle": r"(?<![A-Za-z0-9._%+@/-])@[A-Za-z][A-Za-z0-9_]{2,29}+(?![A-Za-z0-9.@-])",
+    "handle": r"(?<![A-Za-z0-9._%+@/-])@[A-Za-z][A-Za-z0-9_]{2,}+(?![@-]|\.[A-Za-z0-9_])",
 }
 #: A text in which this is not found has no match; a cheap search saves the others.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "secret": "[=:]", "iban": "[A-Z]{2}[0-9]", "handle": "@[A-Za-z]"}

@@ -115,6 +115,15 @@ def test_many_matches_in_one_text(spark):
     assert row.n_email == 4_000 and row.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
 
 
+def test_long_secrets_and_handles_before_a_full_stop(spark):
+    secret = "token=" + "aB3xY9_q" * 90
+    made = [(1, f"use {secret} here"), (2, "follow @some_user. Then @other_user.org and @" + "long_name" * 5 + " go")]
+    df = spark.createDataFrame(made, "doc_id bigint, text string")
+    assert pii.redact(df).where("doc_id = 1").first().text == "use [SECRET] here"
+    found = {(r.doc_id, x.kind, x.start, x.end) for r in df.select("doc_id", pii.candidates(F.col("text")).alias("s")).collect() for x in r.s}
+    assert found == {(1, "secret", 4, 4 + len(secret)), (2, "handle", 7, 17), (2, "handle", 44, 90)}
+
+
 def test_patterns_find_the_same_as_the_plain_ones(spark):
     rng = np.random.default_rng(3)
     made = [(i, "".join(rng.choice(list("a.@-+1 0(:,é9"), 60))) for i in range(400)]

@@ -19,6 +19,8 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 SYMBOLS = b"#*$%&|<>"
 UPPER, LOWER, MARKS = bytes(range(65, 91)), bytes(range(97, 123)), b"!?"
 WINDOW = 8
+#: Words over which the share of distinct ones is taken: it falls as a text grows, so long texts count window by window.
+VARIETY_WORDS = 1000
 #: Frequent function words of several languages; texts of none of them get no vote against them.
 STOPWORDS = frozenset(w.encode() for w in "the of and to in is that for was with der die und das ist von mit zu den nicht de la le et les des en un une que el los por con del se las y".split())
 #: Most good texts that a rule may vote against; keeps the classes from changing sides. Lines and passages that come
@@ -76,7 +78,7 @@ def figures(data: bytes | None) -> dict:
         "upper": upper / max(1, upper + lower),
         "marks": (len(data) - len(data.translate(None, MARKS))) / max(1, n),
         "stop": sum(w in STOPWORDS for w in data.lower().split()) / max(1, n),
-        "variety": len(set(words)) / max(1, n),
+        "variety": sum(len(set(words[k : k + VARIETY_WORDS])) for k in range(0, n, VARIETY_WORDS)) / max(1, n),
     }
 
 

@@ -298,6 +298,14 @@ def test_quality_figures(docs, rows, none):
     assert quality.score_quality(none).count() == 0
 
 
+def test_variety_does_not_fall_with_length():
+    words = [f"w{int(x)}".encode() for x in np.random.default_rng(3).zipf(1.1, 300_000) % 30_000]
+    at = quality.RULES.index("variety")
+    assert len(set(words)) / len(words) < 0.12
+    assert quality.votes(quality.figures(b" ".join(words)))[at] == 1
+    assert quality.votes(quality.figures(b"buy cheap pills now " * 5000))[at] == -1
+
+
 def test_language_models(spark, none):
     rng = np.random.default_rng(8)
     stems = {"aa": ["lum", "tor", "vek", "nami"], "bb": ["szcz", "prze", "gnow", "ielk"], "cc": ["ñand", "güey", "íllo", "quer"]}

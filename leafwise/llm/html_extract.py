@@ -25,7 +25,8 @@ from leafwise.llm.common import mapped, stored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|math|object|canvas|video|audio)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))"
+    r"|<(script|style|noscript|template|iframe)(?=[\s/>])[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))"
+    r"|<(svg|math)(?=[\s/>])[^>]*(?:/>|>.*?</\2\s*>)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -33,7 +34,7 @@ TOKEN = re.compile(
 )
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head nav footer aside form menu button select textarea fieldset dialog script style noscript template".split())
+DROPPED = frozenset("head nav footer aside form menu button select textarea fieldset dialog script style noscript template svg math object canvas video audio".split())
 MAIN = frozenset(("article", "main"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
@@ -85,10 +86,10 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[4] or m[7] or "").lower()
         if not tag:
             continue
-        closing, attributes = (m[2], m[4]) if m[3] else (m[5], m[7])
+        closing, attributes = (m[3], m[5]) if m[4] else (m[6], m[8])
         if tag in INLINE:
             continue
         flush()

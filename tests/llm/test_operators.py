@@ -179,6 +179,15 @@ def test_html(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_custom_and_unclosed_elements_do_not_swallow_the_page():
+    told = lambda page: [b[1] for b in html_extract.parse(page)[0] if not b[3]]
+    for name in ("video-js", "audio-player", "math-renderer", "template-card", "svg-icon"):
+        assert told(f"<article><p>A</p><{name}></{name}><p>B</p></article>") == ["A", "B"]
+    for name in ("video", "audio", "object", "canvas", "math", "svg"):
+        assert told(f"<article><div><p>A</p><{name}>x</div><p>B</p></article>") == ["A", "B"]
+        assert told(f"<article><p>A</p><{name}><b>x</b></{name}><p>B</p></article>") == ["A", "B"]
+
+
 def test_style_tree_drops_repeated_branches_of_unmarked_pages(spark):
     page = "<body><div class=a><p>Same on every page</p></div><div class=b><p>Own text {0} of page {0}</p></div></body>"
     df = spark.createDataFrame([(i, f"http://h.org/{i}", page.format(i)) for i in range(40)], "page_id bigint, url string, html string")

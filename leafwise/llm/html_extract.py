@@ -50,25 +50,48 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 def _unwanted(tag: str, names: str, role: str, hidden: bool, inside: bool) -> bool:
     if tag in DROPPED or tag == "header" and not inside or role in ROLES or hidden:
         return True
+    return inside and _named(tag, names)
+
+
+def _named(tag: str, names: str) -> bool:
     return bool(names) and tag not in ("html", "body", "main") and NAMES.search(names) is not None
 
 
+def _released(blocks: list[tuple[str, str, bool, bool, tuple[int, ...]]]) -> set[int]:
+    """The named branches around the page's content: layout wrappers such as ``has-sidebar``.
+
+    With main content, those around the least nested of it, none if some lies in no named branch. Else each branch of
+    more than half the text."""
+    sizes: dict[tuple[int, ...], int] = {}
+    marked = [b for b in blocks if b[2] and not b[3]]
+    for b in marked or (b for b in blocks if not b[3]):
+        sizes[b[4]] = sizes.get(b[4], 0) + len(b[1])
+    if marked:
+        return set(min(sizes, key=lambda k: (len(k), -sizes[k])))
+    held: dict[int, int] = {}
+    for branches, n in sizes.items():
+        for k in branches:
+            held[k] = held.get(k, 0) + n
+    return {k for k, n in held.items() if 2 * n > sum(sizes.values())}
+
+
 def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str, str]]]:
     """Blocks (path, text, in main content, unwanted) in page order, and (path, child tags) of each element."""
-    blocks: list[tuple[str, str, bool, bool]] = []
+    blocks: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []
     shapes: list[tuple[str, str]] = []
-    stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]  # tag, path, main, unwanted, children
+    #: tag, path, main, unwanted, named branches outside main content, children
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...], list[str]]] = [("", "", False, False, (), [])]
     parts: list[str] = []
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append((stack[-1][1], text, stack[-1][2], stack[-1][3]))
+                blocks.append((stack[-1][1], text, *stack[-1][2:5]))
             parts.clear()
 
     def pop() -> None:
-        tag, path, _, _, children = stack.pop()
+        tag, path, _, _, _, children = stack.pop()
         if children:
             shapes.append((path, ">".join(dict.fromkeys(children))))
 
@@ -106,21 +129,24 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
         if tag in CLOSES:
             close(CLOSES[tag])
         names, role, hidden = "", "", False
-        if attributes and "=" in attributes or "hidden" in (attributes or ""):
+        if attributes and "=" in attributes or "hidden" in (attributes or "").lower():
             values = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(attributes)}
             names, role = f"{values.get('class', '')} {values.get('id', '')}".strip(), values.get("role", "").lower()
-            hidden = re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None or "display:none" in values.get("style", "").replace(" ", "")
-        _, path, inside, unwanted, children = stack[-1]
+            hidden = re.search(r"(?:^|\s)hidden(?:\s|$|[=/])", re.sub(r"\"[^\"]*\"|'[^']*'", "''", attributes), re.I) is not None or "display:none" in values.get("style", "").replace(" ", "")
+        _, path, inside, unwanted, branches, children = stack[-1]
         children.append(tag)
         label = tag + ("." + ".".join(re.sub(r"\d+", "", names).split()) if names else "")
         if not attributes or not attributes.endswith("/"):
-            stack.append((tag, f"{path}/{label}" if len(stack) < 24 else path, inside or tag in MAIN, unwanted or _unwanted(tag, names, role, hidden, inside), []))
+            if not inside and _named(tag, names):
+                branches = (*branches, m.start())
+            stack.append((tag, f"{path}/{label}" if len(stack) < 24 else path, inside or tag in MAIN, unwanted or _unwanted(tag, names, role, hidden, inside), branches, []))
     if at < len(page):
         parts.append(page[at:])
     flush()
     while stack:
         pop()
-    return blocks, shapes
+    released = _released(blocks)
+    return [(path, text, inside, unwanted or not released.issuperset(branches)) for path, text, inside, unwanted, branches in blocks], shapes
 
 
 def host(url: str | None) -> str:

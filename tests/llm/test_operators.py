@@ -188,6 +188,16 @@ def test_custom_and_unclosed_elements_do_not_swallow_the_page():
         assert told(f"<article><p>A</p><{name}><b>x</b></{name}><p>B</p></article>") == ["A", "B"]
 
 
+def test_names_of_layout_wrappers_do_not_empty_the_page():
+    told = lambda page: [b[1] for b in html_extract.parse(page)[0] if not b[3]]
+    for name in ("layout has-sidebar", "site-content no-sidebar", "wrap nav-open"):
+        side = "<div class=sidebar><p>Side</p></div>"
+        assert told(f"<div class='{name}'>{side}<article><p>Story</p><div class=comments>First!</div></article></div>") == ["Story"]
+        assert told(f"<div class='{name}'>{side}<p>A story without a mark of its own</p></div>") == ["A story without a mark of its own"]
+    assert told("<article><p>Story</p></article><div class=related><article><p>Teaser</p></article></div>") == ["Story"]
+    assert told("<article><p class='flex hidden md:block'>A</p><p hidden>B</p><p class=x hidden='until-found'>C</p></article>") == ["A"]
+
+
 def test_style_tree_drops_repeated_branches_of_unmarked_pages(spark):
     page = "<body><div class=a><p>Same on every page</p></div><div class=b><p>Own text {0} of page {0}</p></div></body>"
     df = spark.createDataFrame([(i, f"http://h.org/{i}", page.format(i)) for i in range(40)], "page_id bigint, url string, html string")

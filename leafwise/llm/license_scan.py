@@ -120,13 +120,15 @@ class Automaton:
 @dataclass
 class LicenseScanner:
     """The compiled templates. ``min_match``: shortest match in words; ``max_gap``: words between chained matches;
-    ``coverage``: least part of a template that a chain must cover."""
+    ``coverage``: least part of a template that a chain must cover; one of fewer than ``whole`` words is covered whole,
+    as a single word may tell it from another licence."""
 
     templates: list[tuple[str, str]] = field(default_factory=lambda: list(TEMPLATES))
     phrases: dict[str, str] = field(default_factory=lambda: dict(PHRASES))
     min_match: int = 3
     max_gap: int = 6
     coverage: float = 0.75
+    whole: int = 8
 
     def __post_init__(self) -> None:
         self.vocabulary: dict[bytes, int] = {}
@@ -157,6 +159,7 @@ class LicenseScanner:
         out = []
         for template, matches in found.items():
             size = len(self.sequences[template])
+            least = 1.0 if size < self.whole else self.coverage
             chain: list[list[int]] = []  # [first word, last word, template end, words covered]
             for text_end, end, n in sorted(matches):
                 last = chain[-1] if chain else None
@@ -167,7 +170,7 @@ class LicenseScanner:
                     chain.append([text_end - n + 1, text_end, end, n])
                 elif n > last[3]:
                     chain[-1] = [text_end - n + 1, text_end, end, n]
-            out += [(self.templates[template][0], a, b, covered / size) for a, b, _, covered in chain if covered / size >= self.coverage]
+            out += [(self.templates[template][0], a, b, covered / size) for a, b, _, covered in chain if covered / size >= least]
         return sorted(out)
 
     def scan(self, text: bytes | None) -> dict:

@@ -77,6 +77,16 @@ def test_matching_statistics_against_all_passages():
         assert n == max((k for k in range(i + 2) if k == 0 or tuple(tokens[i + 1 - k : i + 1]) in passages))
 
 
+def test_short_licence_templates_are_covered_whole():
+    labels = lambda text: set(license_scan.LicenseScanner().scan(text).get("labels").split(","))
+    assert labels(b"Licensed under CC BY 4.0.") == {"cc-by"}
+    assert labels(b"Creative Commons Attribution 4.0") == {""}
+    assert "epl" not in labels(b"Mozilla Public License Version 2.0")
+    assert labels(b"GNU General Public License version 3") == {"gpl", "gpl-3"}
+    assert labels(b"Licensed under CC BY-NC 4.0") == {"cc-by", "cc-by-nc"}
+    assert labels(b"Permission is hereby granted, free of charge, to any one") == {"mit"}
+
+
 def base_spans(text):
     text = text or ""
     luhn = lambda v: sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(re.sub("[^0-9]", "", v))))) % 10 == 0

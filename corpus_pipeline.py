@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafwise.llm import bpe, langid, mixing, pii, shingles, simhash
+from leafwise.llm import bpe, langid, mixing, pii, simhash
 from leafwise.llm.common import stored
 
 
@@ -22,11 +22,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of op5's near copies (fingerprints within three bits), that of the smallest id.
+    """One document of each group of op5's near copies (fingerprints within three bits), that of the smallest id; of those,
+    none that is a near copy by 5-word shingles (similarity 0.8 or more) of an earlier one.
 
-    Rows of one id stay or go together, those of a null id stay; texts without words are one group. An empty table stays
-    empty; further columns stay."""
-    return simhash.deduplicated(docs)
+    Rows of one id and text stay or go together; a null id comes last; texts without words are one group. An empty table
+    stays empty; further columns stay."""
+    return simhash.deduplicated(docs, beyond=True)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +40,11 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once for each round; near copies by 5-word shingles (similarity 0.8) are left out.
+    """The documents that the mix takes, once for each round.
 
-    Of near copies that of the smallest id is taken, and sizes are counted without the others. Null texts and those without words have size 0 and are not taken; null sources form one source. Rows of one id are
+    Null texts and those without words have size 0 and are not taken; null sources form one source. Rows of one id are
     taken alike. An empty table stays empty; further columns stay."""
-    return mixing.mixed_documents(stored(shingles.deduplicated(docs))).select(*docs.columns)
+    return mixing.mixed_documents(docs).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,20 +8,23 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows and UTF-8 bytes that a kernel holds as Python objects at once. A longer text forms a chunk of its own.
 CHUNK_ROWS, CHUNK_BYTES = 512, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where the session names none (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a temporary one is set, on a local master only:
+    executors of a cluster would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafwise"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -34,6 +37,26 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of a key table that may be broadcast; their number is counted first, more of them go through a shuffle.
+BROADCAST_ROWS = 200_000
+#: A key is hot if it holds at least this part of all rows: there are at most 1,000 such keys, whatever the input.
+HOT_PART = 1000
+
+
+def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys`` (a stored table of fixed-width columns), marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
+def joined(big: DataFrame, one: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of ``big`` (stored) to ``one`` (stored), which has one row a key and in ``n`` how many rows of ``big``
+    have it. Rows of hot keys do not cross a shuffle: their keys are at most ``HOT_PART``, which are broadcast."""
+    total = one.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(one.where(F.col(n) * HOT_PART >= total).drop(n))
+    rest = big.join(hot.select(key), key, "left_anti").join(one.where(F.col(n) * HOT_PART < total).drop(n), key)
+    return big.join(hot, key).unionByName(rest)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -245,7 +245,60 @@ def test_simhash(docs, rows, none):
     same(simhash.near_duplicates(docs), [(r[0], f"{p:016x}", min(least[root], default=None)) for r, p, root in zip(rows, prints, roots, strict=True)], ["doc_id", "fingerprint", "component_id"])
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.deduplicated(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {min(v) for v in least.values() if v} | {None}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {min(v, default=None) for v in least.values()} | ({None} if any(not v for v in least.values()) else set())
+
+
+def test_deduplication_judges_rows_by_id_and_text(spark):
+    a, b, c = "one of the many texts that stand here", "something else that nobody wrote before", "x y z"
+    df = spark.createDataFrame([(5, a), (5, b), (3, b), (7, a), (7, a), (None, c), (None, c), (None, a)], "doc_id int, text string")
+    assert sorted(map(tuple, simhash.deduplicated(df).collect()), key=repr) == sorted([(5, a), (3, b), (None, c), (None, c)], key=repr)
+    named = spark.createDataFrame([("b", a, 1), ("a", a, 2), ("c", None, 3), ("d", "", 4)], "doc_id string, text string, fp int")
+    assert sorted(r.doc_id for r in simhash.deduplicated(named).collect()) == ["a", "c"]
+
+
+def test_near_copies_beyond_three_bits(spark):
+    """Against all pairs: what goes is a near copy of an earlier text; no two that stay are near copies."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    made = []
+    for _ in range(40):
+        base = list(rng.choice(vocabulary, int(rng.integers(60, 300))))
+        for _ in range(int(rng.integers(1, 6))):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), int(rng.integers(0, 4))):
+                copy[at] = str(rng.choice(vocabulary))
+            made.append(" ".join(copy))
+    crowd = list(rng.choice(vocabulary, 400))
+    made += [" ".join([*crowd[:k], "new", *crowd[k + 1 :]]) for k in range(60)]  # one long list
+    order = rng.permutation(len(made))
+    df = spark.createDataFrame([(i, made[k]) for i, k in enumerate(order.tolist())], "doc_id bigint, text string")
+    sets = {i: {tuple(made[k].split()[j : j + 5]) for j in range(len(made[k].split()) - 4)} for i, k in enumerate(order.tolist())}
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    kept = {r.doc_id for r in simhash.deduplicated(df, beyond=True).collect()}
+    bits = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert all(any(near(i, j) or bits[i] == bits[j] for j in range(i)) for i in sets if i not in kept)
+    pairs = [(i, j) for j in sorted(kept) for i in kept if i < j and near(i, j)]
+    copies = sum(any(near(i, j) for i in range(j)) for j in sets)
+    assert len({j for _, j in pairs}) <= 0.05 * copies
+
+
+def test_fingerprints_by_windows_are_those_of_the_whole_text():
+    text = ("ä Bc dE\tf " * 3000).encode()
+    whole = brute_fingerprint(text.decode())
+    held = simhash.windows.__defaults__
+    for size in (1, 7, 64, 5000):
+        simhash.windows.__defaults__ = (size,)
+        try:
+            assert simhash.fingerprint_text(text) == whole
+        finally:
+            simhash.windows.__defaults__ = held
+
+
+def test_components_fail_rather_than_end_early(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(500)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        simhash.components(chain, rounds=2)
+    assert {r.root for r in simhash.components(chain).collect()} == {0}
 
 
 @pytest.mark.parametrize("posting", [1, 3, 256])

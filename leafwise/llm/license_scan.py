@@ -1,6 +1,7 @@
 """Licence scan: a generalised suffix automaton over the tokens of licence templates.
 
-The automaton of all templates is built once on the driver (a few hundred states, a fixed bound) and streamed over
+The templates are whole licence texts and notices (``license_texts``) and clauses that name a licence. The automaton of
+all is built once on the driver (a few thousand states, a fixed bound) and streamed over
 each text's words. For every word it gives the matching statistic: the length of the longest template passage that
 ends there. Long matches are chained per template, in order and across small gaps, to the span of the text that the
 template covers; a template counts when the chain covers enough of it.
@@ -11,6 +12,7 @@ same result for less work.
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass, field
 
@@ -19,37 +21,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from leafwise.llm.common import binary, mapped
+from leafwise.llm.license_texts import TEXTS
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Phrases that are looked for as they are, whatever stands around them.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-#: Clauses that identify a licence: (label, text).
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person"),
-    ("apache-2.0", "licensed under the apache license version 2"),
-    ("apache-2.0", "apache license version 2 0 january 2004"),
-    ("gpl-2", "gnu general public license version 2"),
-    ("gpl-3", "gnu general public license version 3"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license"),
-    ("epl", "eclipse public license version 2"),
-    ("isc", "permission to use copy modify and or distribute this software"),
+#: Clauses and names that identify a licence: (label, text).
+CLAUSES = [
+    ("mit", "released under the MIT License"),
+    ("mit", "licensed under the MIT License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person"),
+    ("apache-2.0", "licensed under the Apache License, Version 2"),
+    ("apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("gpl-2", "GNU General Public License version 2"),
+    ("gpl-3", "GNU General Public License version 3"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+    ("bsd", "Redistribution and use in source and binary forms"),
+    ("mpl-2.0", "subject to the terms of the Mozilla Public License"),
+    ("epl", "Eclipse Public License Version 2"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software"),
     ("unlicense", "free and unencumbered software released into the public domain"),
-    ("cc0", "cc0 1 0 universal public domain dedication"),
-    ("cc-by-nc", "licensed under cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa"),
-    ("cc-by-nd", "licensed under cc by nd"),
-    ("cc-by-nc", "creative commons attribution noncommercial"),
-    ("cc-by-sa", "creative commons attribution sharealike"),
-    ("cc-by-nd", "creative commons attribution noderivatives"),
+    ("cc0", "CC0 1.0 Universal Public Domain Dedication"),
+    ("cc-by-nc", "licensed under CC BY NC"),
+    ("cc-by-sa", "licensed under CC BY SA"),
+    ("cc-by-nd", "licensed under CC BY ND"),
+    ("cc-by-nc", "Creative Commons Attribution NonCommercial"),
+    ("cc-by-sa", "Creative Commons Attribution ShareAlike"),
+    ("cc-by-nd", "Creative Commons Attribution NoDerivatives"),
     ("proprietary", "unauthorized copying of this file is strictly prohibited"),
 ]
+TEMPLATES = [*CLAUSES, *TEXTS]
 
 
 @dataclass
@@ -132,13 +136,25 @@ class LicenseScanner:
 
     def __post_init__(self) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        code = lambda text: [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in text.encode().split()]
+        code = lambda text: [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall(text.encode().lower())]
         self.coded_phrases = {k: code(v) for k, v in self.phrases.items()}
         self.sequences = [code(text) for _, text in self.templates]
         automaton = Automaton()
         for k, sequence in enumerate(self.sequences):
             automaton.add(sequence, k)
         self.automaton = automaton.finish()
+        self.reach = self._reach()
+
+    def _reach(self) -> list[dict[tuple[int, int], int]]:
+        """Of each state, the longest match of every (template, end) of it and its suffix links, as far as long enough."""
+        a = self.automaton
+        out: list[dict[tuple[int, int], int]] = [{} for _ in a.next]
+        for state in sorted(range(1, len(a.next)), key=a.length.__getitem__):
+            own = dict(out[a.link[state]]) if a.link[state] > 0 else {}
+            if a.length[state] >= self.min_match:
+                own |= dict.fromkeys(a.ends[state], a.length[state])
+            out[state] = own
+        return out
 
     def spans(self, codes: np.ndarray) -> list[tuple[str, int, int, float]]:
         """(label, first word, last word, coverage) of each template chain that covers enough."""
@@ -152,27 +168,43 @@ class LicenseScanner:
         for r in long.tolist():
             at = int(known[starts[r]])
             stats = self.automaton.statistics(codes[at : int(known[ends[r]]) + 1].tolist())
-            for i, (n, state) in enumerate(stats):
-                if n >= self.min_match and (i + 1 == len(stats) or stats[i + 1][0] <= n):  # cannot be extended
-                    for template, end in self.automaton.ends[state]:
-                        found.setdefault(template, []).append((at + i, end, n))
+            here: dict[tuple[int, int], int] = {}
+            for i, (n, state) in enumerate([*stats, (0, 0)]):
+                after = {k: min(n, m) for k, m in self.reach[state].items()} if n >= self.min_match else {}
+                for (template, end), size in here.items():  # matches that cannot be extended
+                    if after.get((template, end + 1), 0) <= size:
+                        found.setdefault(template, []).append((at + i - 1, end, size))
+                here = after
         out = []
         for template, matches in found.items():
             size = len(self.sequences[template])
             least = 1.0 if size < self.whole else self.coverage
-            chain: list[list[int]] = []  # [first word, last word, template end, words covered]
-            for text_end, end, n in sorted(matches):
-                last = chain[-1] if chain else None
-                if last and last[2] < end and 0 < text_end - last[1] and text_end - n - last[1] <= self.max_gap:
-                    last[3] += min(n, end - last[2], text_end - last[1])
-                    last[1:3] = text_end, end
-                elif not last or text_end > last[1]:
-                    chain.append([text_end - n + 1, text_end, end, n])
-                elif n > last[3]:
-                    chain[-1] = [text_end - n + 1, text_end, end, n]
-            out += [(self.templates[template][0], a, b, covered / size) for a, b, _, covered in chain if covered / size >= least]
+            out += [(self.templates[template][0], a, b, covered / size) for a, b, covered in self._chains(sorted(set(matches))) if covered / size >= least]
         return sorted(out)
 
+    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """(first word, last word, words covered) of the best chains of one template's matches, none overlapping.
+
+        A chain goes forward in text and template, over at most ``max_gap`` words of text between matches; only matches
+        that near are tried as predecessors, so the time grows with the text, not with its square."""
+        best: list[tuple[int, int]] = []  # words covered, first word
+        for j, (stop, end, n) in enumerate(matches):
+            top = (n, stop - n + 1)
+            i = j - 1
+            while i >= 0 and matches[i][0] >= stop - n - self.max_gap:
+                if matches[i][0] < stop and matches[i][1] < end:
+                    top = max(top, (best[i][0] + min(n, end - matches[i][1], stop - matches[i][0]), best[i][1]))
+                i -= 1
+            best.append(top)
+        out: list[tuple[int, int, int]] = []
+        taken: list[tuple[int, int]] = []
+        for (covered, first), (stop, _, _) in sorted(zip(best, matches, strict=True), key=lambda x: (-x[0][0], x[1])):
+            at = bisect.bisect(taken, (stop + 1,))
+            if not at or taken[at - 1][1] < first:
+                taken.insert(at, (first, stop))
+                out.append((first, stop, covered))
+        return out
+
     def scan(self, text: bytes | None) -> dict:
         words = WORD.findall((text or b"").lower())
         get = self.vocabulary.get

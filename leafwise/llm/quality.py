@@ -23,9 +23,9 @@ WINDOW = 8
 VARIETY_WORDS = 1000
 #: Frequent function words of several languages; texts of none of them get no vote against them.
 STOPWORDS = frozenset(w.encode() for w in "the of and to in is that for was with der die und das ist von mit zu den nicht de la le et les des en un une que el los por con del se las y".split())
-#: Most good texts that a rule may vote against; keeps the classes from changing sides. Lines and passages that come
-#: again are found in good texts too (refrains, forms), symbols and capitals hardly.
-MOST_WRONG, MOST_REPEATED = 0.002, 0.03
+#: Prior of the share of good texts that a rule votes against, and its weight as a part of all texts: it keeps the classes
+#: from changing sides and is the same for every rule. What a rule is worth is estimated.
+FALSE_ALARM, FALSE_ALARM_WEIGHT = 0.02, 0.2
 #: Rules whose abstention says nothing: they vote either way where they can judge.
 SILENT = ("length", "word_size", "variety")
 RULES = ("length", "symbols", "lines", "repeats", "word_size", "capitals", "marks", "stopwords", "variety")
@@ -104,8 +104,8 @@ def votes(f: dict) -> list[int]:
 def fit_votes(patterns: dict[str, int], rounds: int = 100, prior: float = 0.85) -> dict[str, float]:
     """Posterior probability of good for each vote pattern, by expectation-maximisation over two classes.
 
-    A pattern is one character a rule: + good, - bad, 0 abstains. Symmetric start from the majority of votes; each
-    rule's table of outcomes by class is smoothed, so that a rule that never fires cannot decide."""
+    A pattern is one character a rule: + good, - bad, 0 abstains. It starts from the sign of the votes; each rule's table
+    of outcomes by class is estimated with a Dirichlet prior, the rate of false alarms with ``FALSE_ALARM``."""
     if not patterns:
         return {}
     keys = sorted(patterns)
@@ -119,9 +119,10 @@ def fit_votes(patterns: dict[str, int], rounds: int = 100, prior: float = 0.85)
         log = np.tile(np.log(pi)[:, None], (1, len(keys)))
         for j in range(v.shape[1]):
             table = np.stack([np.bincount(v[:, j], w, 3) for w in weights]) + np.array([[1.0, 1.0, 0.5], [0.2, 1.0, 1.5]])
-            table /= table.sum(1, keepdims=True)
-            most = MOST_REPEATED if RULES[j] in ("lines", "repeats") else MOST_WRONG
-            table[1, 0] = max(table[1, 0], most) if most == MOST_REPEATED else min(table[1, 0], most)
+            weight = FALSE_ALARM_WEIGHT * n.sum()
+            alarms = (np.bincount(v[:, j], weights[1], 3)[0] + FALSE_ALARM * weight) / (weights[1].sum() + weight)
+            table[1] = [alarms, *(table[1, 1:] / table[1, 1:].sum() * (1 - alarms))]
+            table[0] /= table[0].sum()
             told = np.log(table)[:, v[:, j]]
             if RULES[j] in SILENT:
                 told = np.where(v[:, j] == 1, 0.0, told - np.log(1 - table[:, 1:2]))

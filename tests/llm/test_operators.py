@@ -16,6 +16,7 @@ from leafwise.llm import bpe, html_extract, langid, license_scan, mixing, pii, q
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, `Fingerprint` string, size int, spans int"
 WORD5 = r"[^\x20\x09-\x0D]+"
+WORD1 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LICENCE = "This work is CC BY, all rights reserved. Released under the MIT License. GNU General Public License version 2."
 PERSONAL = "Write to jo.e+x@mail.example.org or @someuser_1; call +49 (30) 1234-5678. 10.0.255.7 999.1.1.1 1.2.3.4.5 card 4111 1111 1111 1111 and 4111 1111 1111 1112 é password: hunter2secret9 IBAN DE89 3704 0044 0532 0130 00 a@b a@@b.c x@y.z.w."
 
@@ -87,6 +88,28 @@ def test_short_licence_templates_are_covered_whole():
     assert labels(b"Permission is hereby granted, free of charge, to any one") == {"mit"}
 
 
+def test_edited_licence_texts_are_covered_by_chains():
+    """Words are left out of and put into whole templates: the chain of matches still covers the span."""
+    scanner, rng = license_scan.LicenseScanner(), np.random.default_rng(2)
+    alone = license_scan.LicenseScanner(max_gap=0, coverage=0.95)
+    chained = 0
+    for label, text in license_scan.TEXTS:
+        words = text.split()
+        if len(words) < 60:
+            continue
+        at = sorted(rng.choice(np.arange(10, len(words) - 10, 12), len(words) // 24, replace=False).tolist(), reverse=True)
+        for k in at:
+            words[k : k + 1] = [] if rng.integers(2) else ["zyx"] * int(rng.integers(1, 4))
+        made = "unrelated beginning " * 5 + " ".join(words) + " unrelated end" * 5
+        found = [x for x in scanner.scan(made.encode())["spans"] if x["label"] == label]
+        longest = max(found, key=lambda x: x["last_word"] - x["first_word"])
+        n = len(re.findall(WORD1, lower(" ".join(words))))
+        assert longest["first_word"] == 10 and abs(longest["last_word"] - (9 + n)) <= 3 and longest["coverage"] > 0.8, label
+        chained += not any(x["label"] == label and x["last_word"] - x["first_word"] > n // 2 for x in alone.scan(made.encode())["spans"])
+    assert chained >= 5
+    assert scanner.scan(("plain words about software and the license of the author " * 50).encode())["labels"] == ""
+
+
 def base_spans(text):
     text = text or ""
     luhn = lambda v: sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(re.sub("[^0-9]", "", v))))) % 10 == 0
@@ -380,6 +403,27 @@ def test_quality_figures(docs, rows, none):
     assert quality.score_quality(none).count() == 0
 
 
+def test_expectation_maximisation_finds_the_rules_reliabilities():
+    """Votes drawn from known tables: the posteriors are those of the true tables, and a wrong rule does not decide."""
+    rng = np.random.default_rng(4)
+    n = len(quality.RULES)
+    good = rng.random(40_000) < 0.85
+    against = np.where(good[:, None], [0.01, 0.005, 0.02, 0.02, 0.001, 0.005, 0.005, 0.0, 0.08], [0.1, 0.5, 0.4, 0.5, 0.02, 0.3, 0.3, 0.0, 0.09])
+    v = np.where(rng.random((40_000, n)) < against, "-", "0")
+    two = np.isin(quality.RULES, quality.SILENT)
+    v[:, two] = np.where(v[:, two] == "0", "+", v[:, two])
+    patterns = Counter("".join(r) for r in v)
+    post = quality.fit_votes(dict(patterns))
+    told = np.array([post["".join(r)] for r in v])
+    truth = np.log(0.85 / 0.15) + np.where(v == "-", np.log(against_ratio := np.array([0.1, 0.01, 0.05, 0.04, 0.05, 0.0167, 0.0167, 1, 0.889])), np.log((1 - np.array([0.01, 0.005, 0.02, 0.02, 0.001, 0.005, 0.005, 0.0, 0.08])) / (1 - np.array([0.1, 0.5, 0.4, 0.5, 0.02, 0.3, 0.3, 0.0, 0.09])))).sum(1)
+    assert against_ratio.size == n
+    assert ((told >= 0.5) == (truth >= 0)).mean() > 0.97  # as the true tables decide
+    assert ((told >= 0.5) == good).mean() > 0.9
+    only = "+000+000" + "-"  # the last rule is wrong as often as right: alone it decides nothing
+    assert only not in post or post[only] > 0.5
+    assert any("-" in k and post[k] > 0.5 for k in patterns) and any(post[k] < 0.5 for k in patterns)
+
+
 def test_variety_does_not_fall_with_length():
     words = [f"w{int(x)}".encode() for x in np.random.default_rng(3).zipf(1.1, 300_000) % 30_000]
     at = quality.RULES.index("variety")

@@ -3,7 +3,7 @@
 Patterns yield candidate spans with their places in code points (split gives the gaps between matches, so their lengths
 give the starts). Each candidate is judged by three labelers that vote or abstain: the shape of the value (regex with
 checks), a gazetteer of well-known and reserved values, and the words around it. Votes are counted by kind and pattern,
-at most a few hundred rows whatever the input; expectation-maximisation on these estimates how reliable each labeler
+at most 1,728 rows whatever the input; expectation-maximisation on these estimates how reliable each labeler
 is, and its posteriors are the soft labels of a logistic span classifier over kind, votes and length, trained on the
 same counts. Its weights go back as a Column expression. Spans of the base kinds always stay; the method adds spans of
 further kinds that the classifier accepts.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leafwise.llm.common import stored
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret", "iban", "handle")
+KINDS = (*BASE, "secret", "iban", "handle", "token")
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Possessive forms find the same matches as the plain ones, in linear time. A match begins where a run does, or where
@@ -32,17 +32,22 @@ PATTERNS = {
     "secret": r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9_/+=.-]{8,}+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "handle": r"(?<![A-Za-z0-9._%+@/-])@[A-Za-z][A-Za-z0-9_]{2,}+(?![@-]|\.[A-Za-z0-9_])",
+    "token": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
 #: A text in which this is not found has no match; a cheap search saves the others.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "secret": "[=:]", "iban": "[A-Z]{2}[0-9]", "handle": "@[A-Za-z]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "secret": "[=:]", "iban": "[A-Z]{2}[0-9]", "handle": "@[A-Za-z]", "token": "[A-Za-z0-9_-]{20}"}
 SPANS = "array<struct<kind:string,start:int,end:int,shape:int,gazetteer:int,context:int,size:int>>"
 
 #: Matches whose places are summed up before they join those before: an array grows by copies, so a text of many
 #: matches would else take time with their square.
 BLOCK = 256
 
-GAZETTEER_FOR = ("gmail", "yahoo", "hotmail", "outlook", "example", "mail")
-GAZETTEER_AGAINST = ("127.0.0.1", "0.0.0.0", "255.255.255.255", "changeme", "password", "xxxxxxxx", "noreply", "no-reply", "todo", "none")
+#: Hosts of personal mail, reserved and placeholder values, prefixes that issuers give their access tokens,
+#: countries that issue account numbers.
+MAIL_HOSTS = ("gmail", "googlemail", "yahoo", "ymail", "hotmail", "outlook", "live", "msn", "aol", "icloud", "proton", "protonmail", "gmx", "web", "mail", "yandex", "zoho", "fastmail", "orange", "laposte", "t-online", "example")
+RESERVED = ("127.0.0.1", "0.0.0.0", "255.255.255.255", "changeme", "password", "xxxxxxxx", "noreply", "no-reply", "todo", "none", "your_", "your-", "insert", "placeholder", "redacted", "********", "localhost", ".invalid", ".test")
+TOKEN_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "pk_live_", "rk_live_", "AIza", "ya29", "eyJ", "npm_", "pypi-", "hf_", "SG")
+IBAN_COUNTRIES = ("AD", "AE", "AT", "BE", "BG", "CH", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GB", "GR", "HR", "HU", "IE", "IL", "IS", "IT", "LI", "LT", "LU", "LV", "MC", "MT", "NL", "NO", "PL", "PT", "RO", "SA", "SE", "SI", "SK", "SM", "TR", "UA")
 CONTEXT = {
     "email": "e-?mail|mail|contact|write|correo|courriel|kontakt",
     "ip": r"\bip\b|address|host|server|adresse|login|from|connect",
@@ -51,8 +56,12 @@ CONTEXT = {
     "secret": "password|passwd|pwd|secret|token|key|login|credential",
     "iban": "iban|bank|account|konto|compte|cuenta|bic",
     "handle": "follow|twitter|insta|user|handle|account",
+    "token": "token|secret|key|auth|bearer|credential|password|login",
 }
+#: Words that tell that what follows names a thing and opens nothing.
+CONTEXT_AGAINST = {"token": "sha-?[0-9]*|md5|checksum|commit|hash|digest|uuid|guid|etag|revision|build|version|file|path|url|https?", "iban": "serial|part|model|isbn|order", "handle": "import|decorator|param|return|override"}
 CONTEXT_CHARS = 40
+BELIEF = 0.02
 
 
 def _digits(x: Column) -> Column:
@@ -80,6 +89,8 @@ def valid(kind: str, value: Column) -> Column:
         return F.when(n.between(14, 19), _luhn(value)).otherwise(F.lit(False))
     if kind == "phone":
         return n.between(10, 15)
+    if kind == "token":
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     if kind == "iban":
         return F.length(F.regexp_replace(value, " ", "")).between(15, 34)
     return F.lit(True)
@@ -140,24 +151,27 @@ def shape_vote(kind: Column, value: Column) -> Column:
             "phone": _vote(value.rlike(r"[ ().-]"), F.lit(False)),
             "secret": _vote(secret.rlike("[0-9]") & secret.rlike("[A-Za-z]") & (F.length(secret) >= 10), ~secret.rlike("[0-9]")),
             "iban": _vote(F.length(F.regexp_replace(value, " ", "")) >= 18, F.lit(False)),
+            "token": _vote(value.rlike("[A-Z]") & value.rlike("[a-z]"), value.rlike("^[0-9a-f-]*$|^[a-z]+([_-][a-z0-9]+)+$")),
         },
     )
 
 
 def gazetteer_vote(kind: Column, value: Column) -> Column:
     """Lists of well-known and of reserved values."""
-    low = F.lower(value)
-    known = low.rlike("@(?:[a-z0-9-]+\\.)*(?:" + "|".join(GAZETTEER_FOR) + ")") & (kind == "email")
-    country = value.rlike("^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)")
+    low = F.lower(F.when(kind == "secret", F.regexp_extract(value, r"[=:]\s*[\"']?(.*)$", 1)).otherwise(value))  # of a secret, what its name is given
+    known = low.rlike("@(?:[a-z0-9-]+\\.)*(?:" + "|".join(MAIL_HOSTS) + ")\\.") & (kind == "email")
     reserved = F.lit(False)
-    for word in GAZETTEER_AGAINST:
+    for word in RESERVED:
         reserved = reserved | F.contains(low, F.lit(word))
-    return F.when(kind == "iban", _vote(country)).when(reserved & ~known, -1).when(known, 1).otherwise(0)
+    issued = _vote(value.rlike("^(?:" + "|".join(TOKEN_PREFIXES) + ")"), F.lit(False))
+    country = _vote(value.rlike("^(?:" + "|".join(IBAN_COUNTRIES) + ")"))
+    return F.when(kind == "iban", country).when(reserved & ~known, -1).when(known, 1).when(kind == "token", issued).otherwise(0)
 
 
 def context_vote(kind: Column, before: Column) -> Column:
     """The words shortly before the span; a secret names itself."""
-    return _by_kind(kind, {k: F.when(before.rlike(v), 1).otherwise(0) for k, v in CONTEXT.items()} | {"secret": F.lit(1)})
+    against = {k: F.when(before.rlike(rf"\b(?:{v})\W*$"), -1).otherwise(0) for k, v in CONTEXT_AGAINST.items()}
+    return _by_kind(kind, {k: F.when(before.rlike(v), 1).otherwise(against.get(k, F.lit(0))) for k, v in CONTEXT.items()} | {"secret": F.lit(1)})
 
 
 def _sigmoid(x: float) -> float:
@@ -184,13 +198,17 @@ class SpanClassifier:
 
 def reliabilities(counts: list[tuple], rounds: int = 60) -> list[float]:
     """Posterior that each row of (kind, shape, gazetteer, context, size, n) is personal data, by
-    expectation-maximisation: each labeler has a table of votes by class, each kind a prior."""
+    expectation-maximisation: each labeler has a table of votes by class, each kind a prior. Both start from the belief,
+    weighing ``BELIEF`` of the data, that a labeler is rather right than wrong and a candidate rather real than not: else
+    the classes could change sides where the votes hardly differ."""
+    total = sum(c[5] for c in counts)
+    of = {k: sum(c[5] for c in counts if c[0] == k) for k in {c[0] for c in counts}}
     post = [0.9 if sum(c[1:4]) > 0 else 0.6 if sum(c[1:4]) == 0 else 0.15 for c in counts]
     for _ in range(rounds):
         prior: dict[str, list[float]] = {}
-        tables = [{(v, y): 1.0 + (2.0 if v == (1 if y else -1) else 0.0) for v in (-1, 0, 1) for y in (0, 1)} for _ in range(3)]
+        tables = [{(v, y): (1 + BELIEF * total) * (1.0 + (2.0 if v == (1 if y else -1) else 0.0)) / 5 for v in (-1, 0, 1) for y in (0, 1)} for _ in range(3)]
         for c, p in zip(counts, post, strict=True):
-            both = prior.setdefault(c[0], [1.0, 2.0])
+            both = prior.setdefault(c[0], [1 + BELIEF * of[c[0]], 2 + 2 * BELIEF * of[c[0]]])
             for y, w in ((0, c[5] * (1 - p)), (1, c[5] * p)):
                 both[y] += w
                 for j in range(3):
@@ -229,7 +247,7 @@ def train(counts: list[tuple], rounds: int = 300, rate: float = 0.5) -> SpanClas
 def fit(spans: DataFrame) -> SpanClassifier:
     """A classifier from a table with a ``spans`` column of candidates; only counts of vote patterns are gathered."""
     x = spans.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.shape", "x.gazetteer", "x.context", "x.size").count()
-    return train(sorted(tuple(r) for r in x.collect()))  # at most 7 kinds * 27 votes * 8 size classes
+    return train(sorted(tuple(r) for r in x.collect()))  # at most 8 kinds * 27 votes * 8 size classes
 
 
 def _ordered(spans: Column) -> Column:
@@ -256,19 +274,68 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return marked.select("doc_id", *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.col("kept")).alias("spans"), found.alias("found"))
 
 
+#: Code points of a text that are cut at once when it is redacted.
+PIECE = 4096
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _disjoint(spans: Column) -> Column:
+    """Ordered spans without overlaps: one that begins in another lengthens it."""
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+
+    def step(state: Column, x: Column) -> Column:
+        own = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+        last = state["last"]
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
+        fresh = last.isNull() | (x["start"] >= last["end"])
+        out = F.when(last.isNotNull() & fresh, F.concat(state["out"], F.array(last))).otherwise(state["out"])
+        return F.struct(F.when(fresh, own).otherwise(longer).alias("last"), out.alias("out"))
+
+    def block(state: Column, k: Column) -> Column:
+        done = F.aggregate(F.slice(spans, k * BLOCK + 1, F.lit(BLOCK)), F.struct(state["last"].alias("last"), none.alias("out")), step)
+        return F.struct(done["last"].alias("last"), F.concat(state["out"], done["out"]).alias("out"))
+
+    begin = F.struct(F.lit(None).cast("struct<start:int,end:int,kind:string>").alias("last"), none.alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
+    return F.aggregate(blocks, begin, block, lambda x: F.concat(x["out"], F.array(x["last"])))
+
+
+def _cut(text: Column, spans: Column) -> Column:
+    """``text`` with disjoint ``spans`` replaced. It is cut piece by piece, as a place in a long text costs a walk to it."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def one(piece: Column, k: Column) -> Column:
+        begin = k * PIECE
+        after = lambda own, j: F.greatest(begin, F.coalesce(F.get(own, j - 1)["end"], begin))
+        name = lambda x: F.when(x["start"] >= begin, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit(""))
+
+        def told(own: Column) -> Column:
+            parts = F.transform(own, lambda x, j: F.concat(F.substring(piece, after(own, j) - begin + 1, F.greatest(F.lit(0), x["start"] - after(own, j))), name(x)))
+            return F.concat(F.array_join(parts, ""), F.substring(piece, after(own, F.size(own)) - begin + 1, F.lit(PIECE)))
+
+        return _let(F.filter(spans, lambda x: (x["end"] > begin) & (x["start"] < begin + PIECE)), told)
+
+    return F.array_join(F.transform(pieces, one), "")
+
+
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with each span of personal data in the text replaced by its kind in brackets; overlapping spans become
-    one, of the first's kind. Null texts stay null."""
+    one, of the first's kind. Null texts stay null. Candidates are found once and stored beside the rows."""
+    held = stored(df.withColumn(spans := _fresh(df, "spans"), candidates(F.col(text_col))))
+    model = fit(held.select(F.col(spans).alias("spans")))
     text = F.col(text_col)
-    model = fit(stored(df.select(candidates(text).alias("spans"))))
-    spans = _ordered(F.filter(candidates(text), model.accepts))
+    kept = _ordered(F.filter(spans, model.accepts))
+    redacted = _let(kept, lambda k: F.when(F.size(k) > 0, _let(_disjoint(k), lambda d: _cut(text, d))).otherwise(text))
+    return held.select(*[redacted.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in df.columns])
 
-    def step(state: Column, x: Column) -> Column:
-        fresh = x["start"] >= state["at"]
-        out = F.when(fresh, F.concat(state["out"], F.substring(text, state["at"] + 1, x["start"] - state["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), out.alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(spans, begin, step, lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.lit(2147483647))))
-    redacted = F.when(F.size(spans) > 0, clean).otherwise(text)
-    return df.select(*[redacted.alias(c) if c.lower() == text_col.lower() else df[c] for c in df.columns])
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

@@ -154,7 +154,47 @@ def test_long_secrets_and_handles_before_a_full_stop(spark):
     df = spark.createDataFrame(made, "doc_id bigint, text string")
     assert pii.redact(df).where("doc_id = 1").first().text == "use [SECRET] here"
     found = {(r.doc_id, x.kind, x.start, x.end) for r in df.select("doc_id", pii.candidates(F.col("text")).alias("s")).collect() for x in r.s}
-    assert found == {(1, "secret", 4, 4 + len(secret)), (2, "handle", 7, 17), (2, "handle", 44, 90)}
+    assert found == {(1, "secret", 4, 4 + len(secret)), (1, "token", 10, 4 + len(secret)), (2, "handle", 7, 17), (2, "handle", 44, 90)}
+
+
+def test_the_classifier_decides_on_tokens(spark):
+    """Hashes have the form of tokens: gazetteer and context teach the classifier to leave them alone."""
+    rng = np.random.default_rng(11)
+    letters, digits = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), list("0123456789abcdef")
+    made = []
+    for k in range(300):
+        token, digest = "".join(rng.choice(letters, 30)) + "a7Z", "".join(rng.choice(digits, 38)) + "a7"
+        made.append((2 * k, ["the api key is ghp_{}", "auth bearer {}", "log in with AKIA{}"][k % 3].format(token)))
+        made.append((2 * k + 1, ["commit {}", "the md5 digest {}", "see build {} of it"][k % 3].format(digest)))
+    df = spark.createDataFrame(made, "doc_id bigint, text string")
+    assert df.select(F.explode(pii.candidates(F.col("text")))).count() == 600
+    found = {r.doc_id: r.spans for r in pii.find_pii(df).collect()}
+    assert all(found[2 * k].startswith("token:") for k in range(300)) and not any(found[2 * k + 1] for k in range(300))
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[0] == "the api key is [TOKEN]" and clean[1] == made[1][1]
+
+
+def test_reliabilities_of_labelers():
+    """Votes drawn from known reliabilities: the posterior is Bayes' with the true tables."""
+    rng = np.random.default_rng(5)
+    rates, n = np.array([0.9, 0.8, 0.7]), 20_000
+    truth = rng.random(n) < 0.6
+    right = rng.random((n, 3)) < rates
+    votes = np.where(rng.random((n, 3)) < 0.3, 0, np.where(right == truth[:, None], 1, -1))
+    counts = [(*k, c) for k, c in Counter(("token", *map(int, v), 4) for v in votes).items()]
+    post = dict(zip([c[1:4] for c in counts], pii.reliabilities(counts), strict=True))
+    weights = np.log(rates / (1 - rates))
+    exact = {v: 1 / (1 + np.exp(-(np.log(1.5) + sum(a * b for a, b in zip(v, weights, strict=True))))) for v in post}
+    assert max(abs(post[v] - exact[v]) for v in post) < 0.08
+    assert pii.train(counts).shape > pii.train(counts).context > 0
+
+
+def test_redaction_of_long_texts_with_many_overlapping_spans(spark):
+    unit = "é😀 a@b.cd, password: hunter2secret9@x.org +49 30 1234567 "
+    text = unit * 1500  # in well under a minute: time grows with the length
+    got = pii.redact(spark.createDataFrame([(text, 1), (None, 2), ("", 3)], "text string, spans int"))
+    assert got.columns == ["text", "spans"]
+    assert {r.spans: r.text for r in got.collect()} == {1: "é😀 [EMAIL], [SECRET] [PHONE] " * 1500, 2: None, 3: ""}
 
 
 def test_patterns_find_the_same_as_the_plain_ones(spark):

@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
-Pre-tokens ("words") are found by the tokenizer's pattern. A word that is a token itself has its id in the rank table.
-Every other word is encoded once for the whole corpus: documents are packed into blocks, each block's distinct words go
-by hash to buckets, one packed row for each block and bucket, so that all occurrences of a word meet. A bucket encodes
-each of its distinct words once and sends the ids back to the blocks, where they meet the block's packed texts and are
-put together by position. Packed rows keep the shuffle small, and a word that is everywhere is one entry a block.
-
-Decoding joins ids to the table of token bytes, whose size is fixed by the vocabulary (about 50,000 rows).
+Texts are cut to pre-tokens ("words") by the tokenizer's pattern once. Documents are packed into blocks; a block keeps its
+distinct words and, for each document, the positions of its words among them. Blocks are stored. Their distinct words go by
+hash to buckets, one packed row for each block and bucket, so that all occurrences of a word meet; a bucket encodes each
+distinct word once, and its ids are joined back to the block, where documents are put together by position. Packed rows
+keep the shuffle small, and a word that is everywhere is one entry a block. Words that are tokens themselves stay at home:
+their ids come from the rank table.
+
+Decoding joins the ids to the table of token bytes, a map-side join: its size is fixed by the vocabulary (about 50,000).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import base64
 import hashlib
 import heapq
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafwise.llm.common import chunks, shuffle_partitions
+from leafwise.llm.common import chunks, shuffle_partitions, stored
 
 #: Rows and bytes of a block; a longer text forms a block of its own.
 BLOCK_ROWS, BLOCK_BYTES = 16384, 16 << 20
@@ -83,46 +85,80 @@ def _pack_words(words: list[bytes]) -> bytes:
     return _pack([len(w) for w in words], words)
 
 
-def _block_of(rows: list[int]) -> int:
-    """A block's key follows from its rows alone, so that a task that runs again makes the same."""
-    return int.from_bytes(hashlib.blake2b(struct.pack(f"<{len(rows)}q", *rows), digest_size=8).digest(), "little", signed=True)
+def _array_bytes(column: pa.Array) -> bytes:
+    """A column as an Arrow stream: ids of any type travel with their block."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("id", column.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([column], ["id"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _array_of(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(row's id, ids: array of int, round_trip: whether they decode to the text) of every row; with ``digest``
     n_tokens, ids_sha256 and decoded_sha256 instead.
 
-    A null text has no ids (as an empty one). Ids should be unique within a table of documents, but repeated and null
-    ids are kept: rows are packed, not grouped by id. Special tokens in a text are ordinary text. The rank file is
-    read on the driver and broadcast; its size is the vocabulary's. An empty table gives an empty result."""
+    A null text has no ids (as an empty one). Ids may be of any type, null or repeated: rows are packed, not grouped by
+    id. Special tokens in a text are ordinary text. The texts are read once: what is needed of them is stored, so a lost
+    executor cannot change it. The rank file is read on the driver and broadcast; its size is the vocabulary's. Columns
+    beyond the two are not read. An empty table gives an empty result."""
     spark: SparkSession = df.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    source = df.select(F.coalesce(df[id_col].cast("bigint"), F.lit(-(1 << 63) + 1)).alias("row"), df[text_col].alias("text"))
+    source = df.select(df[id_col].alias("row"), df[text_col].alias("text"))
     find = regex.compile(pattern)
+    n = shuffle_partitions(spark)
+    buckets = 4 * n
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str | None]]]:
-        for batch in chunks(batches, "text", BLOCK_ROWS, BLOCK_BYTES):
-            yield batch.column("row").to_pylist(), batch.column("text").to_pylist()
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a block (bucket null): ids, the words that are tokens, the documents' positions; and one row for each
+        bucket with the words that are to be encoded there. Positions count the tokens' words first, then the buckets'."""
         known = ranks.value
-        for rows, texts in blocks(batches):
-            distinct: set[str] = set()
-            for t in texts:
-                distinct.update(find.findall(t or ""))
-            shares: dict[int, list[bytes]] = {}
-            for w in distinct:
-                if (b := w.encode("utf-8", "surrogatepass")) not in known:
-                    shares.setdefault(zlib.crc32(b) % buckets, []).append(b)
+        for batch in chunks(batches, "text", BLOCK_ROWS, BLOCK_BYTES):
+            block = uuid.uuid4().int >> 65
+            place: dict[str, int] = {}
+            sizes, digests, runs = [], [], []
+            for x in batch.column("text"):
+                text = x.as_py() or ""
+                found = find.findall(text)
+                sizes.append(len(found))
+                digests.append(_digest(text.encode("utf-8", "surrogatepass")))
+                runs.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.uint32, len(found)))
+            home: list[int] = []
+            moved = np.zeros(len(place), np.uint32)
+            shares: dict[int, list[tuple[int, bytes]]] = {}
+            for w, k in place.items():
+                b = w.encode("utf-8", "surrogatepass")
+                if (i := known.get(b)) is not None:
+                    moved[k] = len(home)
+                    home.append(i)
+                else:
+                    shares.setdefault(zlib.crc32(b) % buckets, []).append((k, b))
+            at = len(home)
             keys = sorted(shares)
-            packed = [_pack_words(sorted(shares[k])) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([_block_of(rows)] * len(keys), pa.int64()), pa.array(packed, pa.binary())], ["bucket", "block", "words"])
+            for key in keys:
+                for k, _ in shares[key]:
+                    moved[k] = at
+                    at += 1
+            flat = moved[np.concatenate(runs)] if place else np.zeros(0, np.uint32)
+            data = zstandard.compress(struct.pack("<II", len(sizes), len(home)) + np.array(sizes, "<u4").tobytes() + b"".join(digests) + np.array(home, "<u4").tobytes() + flat.astype("<u4").tobytes(), 3)
+            packed = [_pack_words([b for _, b in shares[key]]) for key in keys]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None, *keys], pa.int32()), pa.array([block] * (len(keys) + 1), pa.int64()), pa.array([_array_bytes(batch.column("row")), *[None] * len(keys)], pa.binary()), pa.array([data, *packed], pa.binary())],
+                ["bucket", "block", "rows", "data"],
+            )
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, {}
         for batch in batches:
             made = []
-            for key, packed in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            for key, packed in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if key != bucket or len(held) > HELD_WORDS:
                     bucket, held = key, {}
                 ids = []
@@ -132,68 +168,61 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                         got = held[w] = np.array(merge_word(w, ranks.value), "<u4").tobytes()
                     ids.append(got)
                 made.append(_pack_words(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("words"), pa.array(made, pa.binary())], ["block", "words", "data"])
-
-    def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in blocks(batches):
-            encoded = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-            data = _pack([-1 if t is None else len(t) for t in encoded], [t for t in encoded if t])
-            yield pa.RecordBatch.from_arrays([pa.array([_block_of(rows)], pa.int64()), pa.array([struct.pack(f"<{len(rows)}q", *rows)], pa.binary()), pa.array([data], pa.binary())], ["block", "rows", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("block"), batch.column("rows"), pa.array(made, pa.binary())], ["bucket", "block", "rows", "data"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, spelled = {}, [b""] * (max(ranks.value.values(), default=-1) + 1)
+        """Sorted by block and bucket, the block's own row last: its buckets' ids first, in the order of their positions."""
+        spelled = [b""] * (max(ranks.value.values(), default=-1) + 1)
         for w, i in ranks.value.items():
             spelled[i] = w
-            try:
-                table[w.decode()] = np.uint32(i).tobytes()
-            except UnicodeDecodeError:
-                continue  # part of a character, never a whole word
-        current, own = None, {}
+        current, ids = None, []
         for batch in batches:
-            for block, packed, rows, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, block, rows, data in zip(*(batch.column(k).to_pylist() for k in ("bucket", "block", "rows", "data")), strict=True):
                 if block != current:
-                    current, own = block, dict(table)
+                    current, ids = block, []
                 if rows is None:
-                    own.update((w.decode("utf-8", "surrogatepass"), ids) for w, ids in zip(_unpack(packed), _unpack(data), strict=True))
+                    ids.extend(_unpack(data))
                     continue
-                out: list[list] = [[], [], [], []]
-                for row, text in zip(struct.unpack(f"<{len(rows) // 8}q", rows), _unpack(data), strict=True):
-                    joined = b"".join(map(own.__getitem__, find.findall(text.decode("utf-8", "surrogatepass")))) if text else b""
-                    ids = np.frombuffer(joined, "<u4")
-                    decoded = b"".join(map(spelled.__getitem__, ids.tolist()))
-                    out[0].append(row)
-                    if digest:
-                        out[1].append(ids.size)
-                        out[2].append(hashlib.sha256(joined).hexdigest())
-                        out[3].append(hashlib.sha256(decoded).hexdigest())
-                    else:
-                        out[1].append(ids.astype(np.int32))
-                        out[2].append(decoded == (text or b""))
-                    if len(out[0]) >= 512:
-                        yield _batch(out, digest)
-                        out = [[], [], [], []]
-                if out[0]:
-                    yield _batch(out, digest)
+                raw = zstandard.decompress(data)
+                n_docs, n_home = struct.unpack_from("<II", raw)
+                sizes = np.frombuffer(raw, "<u4", n_docs, 8)
+                at = 8 + 4 * n_docs
+                digests = [raw[at + 16 * k : at + 16 * k + 16] for k in range(n_docs)]
+                at += 16 * n_docs
+                table = [raw[at + 4 * k : at + 4 * k + 4] for k in range(n_home)] + ids
+                flat = np.frombuffer(raw, "<u4", -1, at + 4 * n_home)
+                ends = np.cumsum(sizes, dtype=np.int64)
+                names = _array_of(rows)
+                for first in range(0, n_docs, 256):
+                    out: list[list] = [[], [], []]
+                    last = min(n_docs, first + 256)
+                    for k in range(first, last):
+                        joined = b"".join(map(table.__getitem__, flat[ends[k] - sizes[k] : ends[k]].tolist()))
+                        tokens = np.frombuffer(joined, "<u4")
+                        decoded = b"".join(map(spelled.__getitem__, tokens.tolist()))
+                        if digest:
+                            told = (tokens.size, hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                        else:
+                            told = (tokens.astype(np.int32), _digest(decoded) == digests[k])
+                        for values, x in zip(out, told, strict=False):
+                            values.append(x)
+                    yield _batch(names.slice(first, last - first), out, digest)
+
+    blocks = stored(source.mapInArrow(positions, "bucket int, block bigint, rows binary, data binary"))
+    encoded = blocks.where("bucket is not null").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(once, blocks.schema)
+    both = encoded.unionByName(blocks.where("bucket is null"))
+    together = both.repartition(n, "block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last())
+    kind = source.schema["row"].dataType.simpleString()
+    out = together.mapInArrow(assemble, f"row {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else f"row {kind}, ids array<int>, round_trip boolean")
+    return out.withColumnRenamed("row", id_col)
 
-    n = shuffle_partitions(spark)
-    buckets = 4 * n
-    shares = source.mapInArrow(words, "bucket int, block bigint, words binary")
-    encoded = shares.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(once, "block bigint, words binary, data binary")
-    texts = source.mapInArrow(payloads, "block bigint, rows binary, data binary")
-    columns = ["block", "words", "rows", "data"]
-    both = encoded.withColumn("rows", F.lit(None).cast("binary")).select(columns).unionByName(texts.withColumn("words", F.lit(None).cast("binary")).select(columns))
-    together = both.repartition(n, "block").sortWithinPartitions("block", F.col("rows").isNotNull())
-    out = together.mapInArrow(assemble, "row bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "row bigint, ids array<int>, round_trip boolean")
-    name = F.when(F.col("row") != -(1 << 63) + 1, F.col("row")).alias(id_col)
-    return out.select(name, *out.columns[1:])
-
-
-def _batch(out: list[list], digest: bool) -> pa.RecordBatch:
+
+def _batch(rows: pa.Array, out: list[list], digest: bool) -> pa.RecordBatch:
     if digest:
-        kinds = (("row", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()))
+        kinds = (("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()))
     else:
-        kinds = (("row", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()))
-    return pa.RecordBatch.from_arrays([pa.array(out[k], kind) for k, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
+        kinds = (("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()))
+    return pa.RecordBatch.from_arrays([rows, *(pa.array(out[k], kind) for k, (_, kind) in enumerate(kinds))], ["row", *(n for n, _ in kinds)])
 
 
 def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:

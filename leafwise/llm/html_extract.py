@@ -1,15 +1,19 @@
 """Main text of web pages, by markup and by a site style tree.
 
-A page is parsed once. Its blocks (the text between block-level tags) carry the path of tags and classes above them.
-Branches that markup names as no content (menus, forms, adverts and the like, by tag, role or class) go. Where the page
-marks its main content (article or main), the blocks in it stay: that branch has importance 1 by definition.
-
-The pages of a host are merged to a style tree: for each path, how many pages hold which content and which sequence of
-child tags. A path's importance is one less the normalised entropy with which its contents spread over pages, mixed
-with the entropy of its presentation. On pages that do not mark their main content, branches below ``least`` go.
-Contents are counted by (host, path, content), so a hot host is spread by its contents, and as 64-bit hashes, so that no
-text is shuffled for it. Each host's list of unimportant paths, bounded by its templates, is joined to those of its
-pages that do not mark their main content; a host's pages are salted for that.
+A page is parsed once. Its blocks (the text between block-level tags) carry the node of the site style tree in which they
+stand: the hash of the host and of the tags and classes above them, however deep. Branches that markup names as no content
+(menus, forms, adverts and the like, by tag, role or class) go.
+
+The pages of a host are merged to a style tree, pages of equal content once: for each node, how many pages hold which
+content and which sequence of child tags. A node's importance is the normalised entropy with which its contents spread
+over pages, mixed with the entropy of its presentation: 1 where every page has its own, near 0 where all have the same.
+``UNSEEN`` pages of contents of their own are added to every node, so that a few pages prove nothing and no size of host
+is treated apart. Nodes below ``least`` go from every page, those in marked main content (article, main) only below
+``least_main``. Of what remains, main content is the page's text unless the page has more text outside it.
+
+Contents are counted by (host, node, content), so a hot host is spread by its contents, and as 64-bit hashes, so that no
+text is shuffled for it. Each host's list of unimportant nodes, bounded by its templates, is joined to its pages, which are
+salted for that.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leafwise.llm.common import mapped, stored
 
@@ -57,7 +61,7 @@ def _named(tag: str, names: str) -> bool:
     return bool(names) and tag not in ("html", "body", "main") and NAMES.search(names) is not None
 
 
-def _released(blocks: list[tuple[str, str, bool, bool, tuple[int, ...]]]) -> set[int]:
+def _released(blocks: list[tuple[int, str, bool, bool, tuple[int, ...]]]) -> set[int]:
     """The named branches around the page's content: layout wrappers such as ``has-sidebar``.
 
     With main content, those around the least nested of it, none if some lies in no named branch. Else each branch of
@@ -75,12 +79,13 @@ def _released(blocks: list[tuple[str, str, bool, bool, tuple[int, ...]]]) -> set
     return {k for k, n in held.items() if 2 * n > sum(sizes.values())}
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str, str]]]:
-    """Blocks (path, text, in main content, unwanted) in page order, and (path, child tags) of each element."""
-    blocks: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []
-    shapes: list[tuple[str, str]] = []
-    #: tag, path, main, unwanted, named branches outside main content, children
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...], list[str]]] = [("", "", False, False, (), [])]
+def parse(page: str, root: int = 0) -> tuple[list[tuple[int, str, bool, bool]], list[tuple[int, str]]]:
+    """Blocks (node, text, in main content, unwanted) in page order, and (node, child tags) of each element. ``root`` is
+    the node of the host."""
+    blocks: list[tuple[int, str, bool, bool, tuple[int, ...]]] = []
+    shapes: list[tuple[int, str]] = []
+    #: tag, node, main, unwanted, named branches outside main content, children
+    stack: list[tuple[str, int, bool, bool, tuple[int, ...], list[str]]] = [("", root, False, False, (), [])]
     parts: list[str] = []
 
     def flush() -> None:
@@ -91,9 +96,9 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
             parts.clear()
 
     def pop() -> None:
-        tag, path, _, _, _, children = stack.pop()
+        _, node, _, _, _, children = stack.pop()
         if children:
-            shapes.append((path, ">".join(dict.fromkeys(children))))
+            shapes.append((node, ">".join(dict.fromkeys(children))))
 
     def close(tags: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -133,20 +138,20 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
             values = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(attributes)}
             names, role = f"{values.get('class', '')} {values.get('id', '')}".strip(), values.get("role", "").lower()
             hidden = re.search(r"(?:^|\s)hidden(?:\s|$|[=/])", re.sub(r"\"[^\"]*\"|'[^']*'", "''", attributes), re.I) is not None or "display:none" in values.get("style", "").replace(" ", "")
-        _, path, inside, unwanted, branches, children = stack[-1]
+        _, node, inside, unwanted, branches, children = stack[-1]
         children.append(tag)
         label = tag + ("." + ".".join(re.sub(r"\d+", "", names).split()) if names else "")
         if not attributes or not attributes.endswith("/"):
             if not inside and _named(tag, names):
                 branches = (*branches, m.start())
-            stack.append((tag, f"{path}/{label}" if len(stack) < 24 else path, inside or tag in MAIN, unwanted or _unwanted(tag, names, role, hidden, inside), branches, []))
+            stack.append((tag, _hash(f"{node}/{label}"), inside or tag in MAIN, unwanted or _unwanted(tag, names, role, hidden, inside), branches, []))
     if at < len(page):
         parts.append(page[at:])
     flush()
     while stack:
         pop()
     released = _released(blocks)
-    return [(path, text, inside, unwanted or not released.issuperset(branches)) for path, text, inside, unwanted, branches in blocks], shapes
+    return [(node, text, inside, unwanted or not released.issuperset(branches)) for node, text, inside, unwanted, branches in blocks], shapes
 
 
 def host(url: str | None) -> str:
@@ -154,10 +159,12 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-BLOCK = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string())]))
+BLOCK = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("main", pa.bool_())]))
 NODE = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.bool_()), ("hash", pa.int64())]))
-#: Parts of a host's pages that each meet its list of paths.
+#: Parts of a host's pages that each meet its list of nodes.
 SALTS = 16
+#: Pages of own contents that every node is taken to have beyond those seen.
+UNSEEN = 4
 
 
 def _hash(text: str) -> int:
@@ -165,53 +172,55 @@ def _hash(text: str) -> int:
 
 
 def parse_pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, host, page: a hash of its content, blocks: those that markup does not rule out, nodes: of the tree)."""
+
     def kernel(chunk: pa.RecordBatch) -> dict:
-        texts, open_blocks, nodes, hosts = [], [], [], []
+        wanted, nodes, hosts, pages = [], [], [], []
         for page, url in zip(chunk.column("html").to_pylist(), chunk.column("url").to_pylist(), strict=True):
-            blocks, shapes = parse(page or "")
-            own = host(url)
-            node = {p: _hash(f"{own}\0{p}") for p in {b[0] for b in blocks} | {s[0] for s in shapes}}
-            wanted = [b for b in blocks if not b[3]]
-            marked = [b for b in wanted if b[2]]
-            texts.append(" ".join(b[1] for b in marked) if marked else None)
-            open_blocks.append([] if marked else [{"node": node[b[0]], "text": b[1]} for b in wanted])
-            outside = {(node[b[0]], True, _hash(b[1])) for b in blocks if not b[2]} | {(node[p], False, _hash(c)) for p, c in shapes}
-            nodes.append([{"node": p, "kind": k, "hash": h} for p, k, h in sorted(outside)])
-            hosts.append(_hash(own))
-        return {"host": pa.array(hosts, pa.int64()), "text": pa.array(texts, pa.string()), "blocks": pa.array(open_blocks, BLOCK), "nodes": pa.array(nodes, NODE)}
+            root = _hash(host(url))
+            blocks, shapes = parse(page or "", root)
+            own = [b for b in blocks if not b[3]]
+            wanted.append([{"node": b[0], "text": b[1], "main": b[2]} for b in own])
+            tree = sorted({(b[0], True, _hash(b[1])) for b in own} | {(p, False, _hash(c)) for p, c in shapes})
+            nodes.append([{"node": p, "kind": k, "hash": h} for p, k, h in tree])
+            hosts.append(root)
+            pages.append(_hash("\0".join(b[1] for b in own)))
+        return {"host": pa.array(hosts, pa.int64()), "page": pa.array(pages, pa.int64()), "blocks": pa.array(wanted, BLOCK), "nodes": pa.array(nodes, NODE)}
 
     source = df.select(df[id_col].alias("page_id"), df[url_col].alias("url"), df[html_col].alias("html"))
     kind = source.schema["page_id"].dataType.simpleString()
-    return mapped(source, kernel, "html", f"page_id {kind}, url string, host bigint, text string, blocks array<struct<node:bigint,text:string>>, nodes array<struct<node:bigint,kind:boolean,hash:bigint>>", ("page_id", "url"))
+    return mapped(source, kernel, "html", f"page_id {kind}, url string, host bigint, page bigint, blocks array<struct<node:bigint,text:string,main:boolean>>, nodes array<struct<node:bigint,kind:boolean,hash:bigint>>", ("page_id", "url"))
 
 
 def style_tree(parsed: DataFrame, gamma: float = 0.9) -> DataFrame:
-    """(host, node, pages, importance) of the merged tree of each host's pages; hosts and paths as hashes."""
-    held = parsed.select("host", F.explode("nodes").alias("n")).groupBy("host", "n.node", "n.kind", "n.hash").agg(F.count(F.lit(1)).alias("df"))
-    sums = held.groupBy("host", "node").agg(
-        F.sum(F.when(F.col("kind"), F.col("df"))).alias("held"),
-        F.sum(F.when(F.col("kind"), F.col("df") * F.log("df"))).alias("spread"),
-        F.sum(F.when(~F.col("kind"), F.col("df"))).alias("shaped"),
-        F.sum(F.when(~F.col("kind"), F.col("df") * F.log("df"))).alias("shapes"),
-    )
-    pages = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    size = F.log(F.greatest(F.col("pages"), F.lit(2)))
-    content = F.coalesce(1 - F.col("spread") / (F.col("held") * size), F.lit(1.0))
-    shape = F.coalesce((F.log("shaped") - F.col("shapes") / F.col("shaped")) / size, F.lit(0.0))
-    return sums.join(pages, "host").select("host", "node", "pages", (gamma * content + (1 - gamma) * shape).alias("importance"))
-
-
-def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.35, least_pages: int = 8) -> DataFrame:
+    """(host, node, importance) of the merged tree of each host's pages; hosts and nodes as hashes."""
+    once = parsed.select("host", "page", "nodes").dropDuplicates(["host", "page"])
+    held = once.select("host", F.explode("nodes").alias("n")).groupBy("host", "n.node", "n.kind", "n.hash").agg(F.count(F.lit(1)).alias("df"))
+
+    def entropy(of: Column) -> Column:
+        """Of df pages for each content, and UNSEEN more of one page each; normalised."""
+        total = F.sum(F.when(of, F.col("df"))) + UNSEEN
+        return 1 - F.sum(F.when(of, F.col("df") * F.log("df"))) / (total * F.log(total))
+
+    sums = held.groupBy("host", "node").agg(entropy(F.col("kind")).alias("content"), entropy(~F.col("kind")).alias("shape"))
+    return sums.select("host", "node", F.coalesce(gamma * F.col("content") + (1 - gamma) * F.col("shape"), "content", "shape").alias("importance"))
+
+
+def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.35, least_main: float = 0.2) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     A null or empty page gives an empty text; a null URL, or one without a host, is of the host "". Repeated rows and
-    ids pass as they are; an empty table gives an empty result. Unclosed and stray tags, quotes and comments are read
-    as browsers do, roughly. Hosts of under ``least_pages`` pages say too little for their style tree to drop anything."""
+    ids pass as they are, ties of importance stay together; an empty table gives an empty result; columns beyond the
+    three are not read. Unclosed and stray tags, quotes and comments are read as browsers do, roughly."""
     parsed = stored(parse_pages(df, id_col, url_col, html_col))
-    low = style_tree(parsed).where((F.col("importance") < least) & (F.col("pages") >= least_pages))
-    low = low.groupBy("host").agg(F.collect_set("node").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    whole = parsed.where("text is not null").select("page_id", "url", "text")
-    unmarked = parsed.where("text is null").drop("nodes").withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int"))
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("low", b["node"]), F.lit(False)))
-    pruned = unmarked.join(low, ["host", "salt"], "left").select("page_id", "url", F.concat_ws(" ", F.transform(kept, lambda b: b["text"])).alias("text"))
-    return whole.unionByName(pruned).withColumn("n_chars", F.length("text").cast("bigint"))
+    low = style_tree(parsed).where(F.col("importance") < least)
+    low = low.groupBy("host").agg(F.collect_set("node").alias("low"), F.collect_set(F.when(F.col("importance") < least_main, F.col("node"))).alias("lowest"))
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pages = parsed.drop("nodes").withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).join(low, ["host", "salt"], "left")
+    gone = lambda b: F.coalesce(F.array_contains("low", b["node"]) & (~b["main"] | F.array_contains("lowest", b["node"])), F.lit(False))
+    kept = pages.withColumn("kept", F.filter("blocks", lambda b: ~gone(b)))
+    size = lambda main: F.aggregate(F.filter("kept", lambda b: b["main"] == main), F.lit(0), lambda a, b: a + F.length(b["text"]))
+    marked = size(True)  # lengths in code points
+    shown = F.filter("kept", lambda b: b["main"] | ~F.col("only"))
+    text = F.array_join(F.transform(shown, lambda b: b["text"]), " ")
+    return kept.withColumn("only", (marked > 0) & (marked >= size(False))).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

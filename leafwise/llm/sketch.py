@@ -11,7 +11,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,6 +19,8 @@ from leafwise.llm.common import chunks, shuffle_partitions
 
 SHINGLE = 5
 FRACTION = 1 / 8
+#: Ids for each range, of which the ranges' bounds are chosen.
+SAMPLED = 100
 
 
 def shingle_hashes(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
@@ -89,14 +90,15 @@ def _pair(text: str, following: str, own: np.ndarray, words: list[bytes]) -> tup
     return edited, np.concatenate([own[:same], shingle_hashes(tail[same:])])
 
 
-FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FIELDS = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+SCHEMA = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by (bucket, ghost, doc_id, text): each row meets the next; a bucket's ghost row is the one after its last."""
     held, made = None, []
     for chunk in chunks(batches, "text", 256):
+        kind = chunk.column("doc_id").type
         for bucket, ghost, doc_id, text in zip(*(chunk.column(k).to_pylist() for k in ("bucket", "ghost", "doc_id", "text")), strict=True):
             text = text or ""
             words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -106,7 +108,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 made.append(_finish(held, row))
             held = row
         if made:
-            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], kind) for i, (_, kind) in enumerate(FIELDS)], [k for k, _ in FIELDS])
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate([kind, *(k for _, k in FIELDS)])], ["doc_id", *(k for k, _ in FIELDS)])
             made = []
 
 
@@ -121,32 +123,37 @@ def edited_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Of each document: its fingerprint, that of its edited text (the last quarter replaced by the start of the next
     document's), and the likeness to that and to the next document.
 
-    Documents are dealt to ranges of the id by approximate quantiles and sorted there: the texts are shuffled once.
-    The first document of each range (one a range) also goes to the range before, and the very first to the last.
-    Ids that tie are ordered by text, null ids come last; a single row is its own next; a null text is an empty one."""
+    Documents are dealt to ranges of the id, whose bounds come from a bounded sample and only place the work, and are
+    sorted there: the texts are shuffled once, each range to a partition of its own. The first document of each range
+    also goes to the range before, and the very first to the last. Ids are of any type that can be ordered; those that
+    tie are ordered by text, null ids come last; a single row is its own next; a null text is an empty one. Columns
+    beyond the two are not read. An empty table gives an empty result."""
     spark = df.sparkSession
-    source = df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].alias("text"))
+    source = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {SCHEMA}"
     n = shuffle_partitions(spark)
-    cuts = np.unique(source.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)).astype(np.int64) if n > 1 else np.zeros(0, np.int64)
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.full(len(ids), len(cuts) + 1, np.int32)
-        out[known] = np.searchsorted(cuts, ids[known].to_numpy(np.int64), "right")
-        return pd.Series(out)
+    ids = source.select("doc_id").where("doc_id is not null")
+    part = min(1.0, SAMPLED * n / max(1, ids.count()))
+    seen = sorted(r[0] for r in (ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))) if part < 1 else ids).collect())
+    cuts = sorted({seen[len(seen) * k // n] for k in range(1, n)}) if seen else []
+    kind = source.schema["doc_id"].dataType
+    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts])
 
     def dealt(ids: Column) -> Column:
-        return place(ids)
+        """The number of bounds up to the id: found by halving. Null ids are a range of their own, the last."""
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+        onward = lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) <= ids), at + step).otherwise(at)
+        return F.when(ids.isNull(), F.lit(len(cuts) + 1)).otherwise(F.aggregate(steps, F.lit(0), onward) if cuts else F.lit(0))
 
-    firsts = sorted((r[0], r[1]) for r in source.select(dealt(F.col("doc_id")).alias("bucket"), "doc_id").groupBy("bucket").agg(F.min("doc_id")).collect())  # one row a range
-    before = {firsts[(k + 1) % len(firsts)]: firsts[k][0] for k in range(len(firsts))}
     bucketed = source.withColumn("bucket", dealt(F.col("doc_id")))
+    firsts = sorted((r[0], r[1]) for r in bucketed.groupBy("bucket").agg(F.min("doc_id")).collect())  # one row a range
     if not firsts:
-        return spark.createDataFrame([], SCHEMA)
-    lookup = spark.createDataFrame([(b, i, p) for (b, i), p in before.items()], "b int, first bigint, previous int")
-    copies = bucketed.join(F.broadcast(lookup), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
-    ghost = F.when(F.col("previous").isNotNull(), F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost")), F.struct(F.col("previous").alias("bucket"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost"))))
-    rows = copies.select(F.explode(ghost).alias("at"), "doc_id", "text").select("at.bucket", "at.ghost", "doc_id", "text")
-    placed = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_last(), "text")
-    return placed.mapInArrow(_rows, SCHEMA)
+        return spark.createDataFrame([], schema)
+    before = [(firsts[(k + 1) % len(firsts)], firsts[k][0]) for k in range(len(firsts))]
+    lookup = F.broadcast(spark.createDataFrame([(b, i, p) for (b, i), p in before], f"b int, first {kind.simpleString()}, previous int"))  # one row a range
+    copies = bucketed.join(lookup, (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost"))
+    also = F.struct(F.col("previous").alias("bucket"), F.lit(1).alias("ghost"))
+    rows = copies.select(F.explode(F.when(F.col("previous").isNotNull(), F.array(own, also)).otherwise(F.array(own))).alias("at"), "doc_id", "text").select("at.bucket", "at.ghost", "doc_id", "text")
+    placed = rows.repartitionById(len(cuts) + 2, F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_last(), "text")
+    return placed.mapInArrow(_rows, schema)

@@ -229,10 +229,12 @@ def training_sample(df: DataFrame, lang_col: str, text_col: str, key_col: str, m
     return out
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", max_docs: int = 300, max_chars: int = 1_000_000) -> Model:
-    """Fits the models on a bounded sample: ``max_docs`` rows and ``max_chars`` characters of each label at most.
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", max_docs: int = 300, max_chars: int = 1_000_000, max_total: int = 100_000_000) -> Model:
+    """Fits the models on a bounded sample: ``max_docs`` rows and ``max_chars`` characters of each label at most, and fewer
+    characters of each where the labels would have more than ``max_total`` together.
     Null labels and texts are left out; with no labelled rows the model knows no language and calls all texts und."""
-    return fit(training_sample(df, lang_col, text_col, key_col, max_docs, max_chars))
+    n = df.where(df[lang_col].isNotNull()).select(lang_col).distinct().count()
+    return fit(training_sample(df, lang_col, text_col, key_col, max_docs, min(max_chars, max_total // max(1, n))))
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:

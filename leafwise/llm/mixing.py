@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from leafwise.llm.common import stored
+from leafwise.llm.common import shuffle_partitions, stored
 
 WEIGHTS = (3, 1, 2)
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -23,27 +23,43 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORDS))).cast("bigint")
 
 
+def _running(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """``df`` (small rows) in global order, with the sums of columns over the rows before each one.
+
+    Rows are dealt to ranges of the order; sums within a range are a window's, those of the ranges before come from a
+    table of one row a range. No task sees more than its range."""
+    ranged = stored(df.repartitionByRange(max(1, shuffle_partitions(df.sparkSession)), *order).withColumn("__range", F.spark_partition_id()))
+    totals = sorted(map(tuple, ranged.groupBy("__range").agg(*[F.sum(c) for c in sums.values()]).collect()))  # one row a range
+    before, held = [], [0.0] * len(sums)
+    for k, *own in totals:
+        before.append((k, *held))
+        held = [a + b for a, b in zip(held, own, strict=True)]
+    names = [f"__before_{k}" for k in range(len(sums))]
+    carried = F.broadcast(df.sparkSession.createDataFrame(before, "__range int, " + ", ".join(f"{x} double" for x in names)))
+    up = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = ranged.join(carried, "__range")
+    for x, (name, column) in zip(names, sums.items(), strict=True):
+        out = out.withColumn(name, F.col(x) + F.coalesce(F.sum(column).over(up), F.lit(0)))
+    return out.drop("__range", *names)
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size) to (..., weight, target): water-filling in closed form over the sources' own table.
 
     Sources in code point order, nulls last, take the weights in turn. Sorted by capacity / weight, the sources at
-    their limit come first; the level of the rest follows from running sums. The windows see one row a source."""
-    one = W.partitionBy(F.lit(0))
-    ranked = sizes.withColumn("rank", F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("weight", weight).withColumn("room", F.col("source_size") * float(most))
-    up = one.orderBy((F.col("room") / F.col("weight")), "rank").rowsBetween(W.unboundedPreceding, -1)
-    ranked = (
-        ranked.withColumn("all_size", F.sum("source_size").over(one))
-        .withColumn("all_weight", F.sum("weight").over(one))
-        .withColumn("room_before", F.coalesce(F.sum("room").over(up), F.lit(0.0)))
-        .withColumn("weight_before", F.coalesce(F.sum("weight").over(up), F.lit(0.0)))
-        .withColumn("level", (F.col("all_size") * share - F.col("room_before")) / (F.col("all_weight") - F.col("weight_before")))
-        .withColumn("fits", F.col("level") * F.col("weight") < F.col("room"))
-        .withColumn("water", F.min(F.when(F.col("fits"), F.struct((F.col("room") / F.col("weight")).alias("r"), "rank", "level"))).over(one))
-    )
-    full = F.col("water").isNull() | (F.struct((F.col("room") / F.col("weight")).alias("r"), "rank") < F.struct("water.r", "water.rank"))
-    return ranked.withColumn("target", F.when(full, F.col("room")).otherwise(F.col("water.level") * F.col("weight"))).select("source", "source_size", "weight", "target")
+    their limit come first; the level of the rest follows from running sums, taken range by range."""
+    if sizes.isEmpty():
+        return sizes.select("source", "source_size", F.lit(0.0).alias("weight"), F.lit(0.0).alias("target"))
+    ranked = _running(sizes.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], {"rank": "one"}).drop("one")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank").cast("bigint") % len(weights) + 1).cast("int"))
+    ranked = ranked.withColumn("weight", weight).withColumn("room", F.col("source_size") * float(most)).withColumn("ratio", F.col("room") / F.col("weight"))
+    ranked = stored(_running(ranked, [F.col("ratio"), F.col("rank")], {"room_before": "room", "weight_before": "weight"}))
+    all_size, all_weight = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(all_size * share)) - F.col("room_before")) / (F.lit(float(all_weight)) - F.col("weight_before"))
+    ranked = ranked.withColumn("level", level)
+    water = ranked.where(F.col("level") * F.col("weight") < F.col("room")).agg(F.min(F.struct("ratio", "rank", "level"))).first()[0]
+    full = F.lit(True) if water is None else (F.col("ratio") < water["ratio"]) | (F.col("ratio") == water["ratio"]) & (F.col("rank") < water["rank"])
+    return ranked.withColumn("target", F.when(full, F.col("room")).otherwise(F.lit(0.0 if water is None else water["level"]) * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
 def apportion(shards: DataFrame, seats: int, sections: int = 64) -> DataFrame:
@@ -85,7 +101,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), word_count(df[text_col]).alias("size"), F.xxhash64(F.lit(seed), df[id_col].cast("string")).alias("h"))
     rows = stored(rows)  # a few numbers a row, so that the texts are read once
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
-    targets = stored(targets.withColumn("n_shards", F.least(F.lit(65536), F.ceil(F.col("source_size") / shard_words) + 1).cast("bigint")).withColumnRenamed("source", "s"))
+    targets = stored(targets.withColumn("n_shards", (F.ceil(F.col("source_size") / shard_words) + 1).cast("bigint")).withColumnRenamed("source", "s"))
     dealt = rows.join(targets, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("shard", F.pmod(F.shiftrightunsigned("h", 20), "n_shards")).drop("s")
     key = F.struct(F.col("source").isNull().alias("none"), F.col("source"), F.col("shard"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))

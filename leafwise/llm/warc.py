@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from leafwise.llm.common import stored
+from leafwise.llm.common import joined as spread, stored
 
 #: Fields of a 304 that do not replace those of the stored response (RFC 9111 section 3.2, RFC 9110 section 7.6.1).
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
@@ -79,10 +79,17 @@ def resolve_revisits(captures: DataFrame, blocks: int = 64) -> DataFrame:
     keyed = rows.where("url is not null and ts is not null")
     points = stored(keyed.groupBy("url", "ts").agg(F.max(F.when(~F.col("revisit"), F.col("record_id"))).alias("full")))
     answers = latest_before(points, blocks).where("full is not null").select(F.col("url").alias("u"), F.col("ts").alias("t"), "full")
-    asked = asks.join(answers, (F.col("url") == F.col("u")) & (F.col("ts") == F.col("t")), "left").drop("u", "t")
+    # rows without a key, or without an answer, join nothing: they go past the joins and meet in no task
+    keyless = F.col("url").isNull() | F.col("ts").isNull()
+    asked = asks.where(~keyless).join(answers, (F.col("url") == F.col("u")) & (F.col("ts") == F.col("t")), "left").drop("u", "t")
+    asked = asked.unionByName(asks.where(keyless).withColumn("full", F.lit(None).cast(rows.schema["record_id"].dataType)))
     found = full.where("record_id is not null").groupBy("record_id").agg(F.max(F.struct("digest", F.array_sort(F.map_entries("headers")).alias("headers"))).alias("own"))
     found = found.select(F.col("record_id").alias("id"), F.map_from_entries("own.headers").alias("own_headers"), F.col("own.digest").alias("own_digest"))
-    joined = asked.join(found, F.col("full") == F.col("id"), "left")
+    asked = stored(asked)
+    used_by = stored(asked.where("full is not null").groupBy("full").agg(F.count(F.lit(1)).alias("uses")))
+    payload = stored(found.join(used_by, F.col("id") == F.col("full")).select("full", "uses", "id", "own_headers", "own_digest"))
+    none = [F.lit(None).cast(payload.schema[c].dataType).alias(c) for c in ("id", "own_headers", "own_digest")]
+    joined = spread(asked.where("full is not null"), payload, "full", "uses").unionByName(asked.where("full is null").select("*", *none))
     same_tag = _tag("headers") == _tag("own_headers")
     same_date = F.element_at("headers", "last-modified") == F.element_at("own_headers", "last-modified")
     valid = F.coalesce(same_tag, same_date)

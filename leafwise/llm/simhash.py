@@ -267,33 +267,31 @@ def near_copies(held: DataFrame, df: DataFrame, id_col: str, text_col: str, few:
     sets = stored(shingle_sets(texts, id_col, text_col).dropDuplicates(["doc_id", "h"]).select(_order().alias("item"), "hashes"))
     out, leads = None, 1
     while True:
-        groups = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        crowded = groups.where(F.col("n") > max(few, leads)).select("key")
-        rest = postings.join(groups.where(F.col("n") <= max(few, leads)), "key").select("key", "item")
+        tagged = stored(postings.join(stored(_lists(postings, leads)), "key"))
+        rest = tagged.where(F.col("n") <= max(few, leads)).select("key", "item")
         x, y = rest.alias("x"), rest.alias("y")
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item"))).select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
+        crowded = tagged.where(F.col("n") > max(few, leads))
         more = not crowded.isEmpty()
         if more:
-            held_on = postings.join(crowded, "key")
-            first = stored(_first_items(held_on, leads))
-            stars = held_on.join(first.select("key", F.explode("leads").alias("lead")), "key").where("item > lead").select(F.col("lead").alias("a"), F.col("item").alias("b"))
+            stars = crowded.select(F.explode("leads").alias("a"), F.col("item").alias("b")).where("b > a")
             pairs = pairs.unionByName(stars)
         found = stored(verified(pairs.distinct(), sets).select(F.col("b").alias("item")).distinct())
         out = found if out is None else out.unionByName(found)
         if not more:
             return out.distinct()
-        rest = held_on.join(found, "item", "left_anti").join(first.select("key", F.element_at("leads", -1).alias("last")), "key")
-        postings = stored(rest.where("item > last").select("key", "item"))
+        postings = stored(crowded.where(F.col("item") > F.element_at("leads", -1)).select("key", "item").join(found, "item", "left_anti"))
         leads *= 4
 
 
-def _first_items(postings: DataFrame, n: int) -> DataFrame:
-    """(key, leads): each list's first ``n`` items; lists are cut to parts, each of which gives its first ones."""
-    cut = lambda items: F.slice(F.array_sort(F.collect_list(items)), 1, n)
-    if n == 1:
-        return postings.groupBy("key").agg(F.array(F.min("item")).alias("leads"))
-    least = postings.groupBy("key", F.pmod(F.xxhash64("item"), F.lit(1024)).alias("part")).agg(cut(F.col("item")).alias("some"))
-    return least.select("key", F.explode("some").alias("item")).groupBy("key").agg(cut(F.col("item")).alias("leads"))
+def _lists(postings: DataFrame, leads: int) -> DataFrame:
+    """(key, n, leads) of the lists of two and more: their length and first items. Lists are cut to parts for that, each
+    of which gives its first items."""
+    if leads == 1:
+        return postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(F.min("item")).alias("leads")).where("n > 1")
+    cut = lambda items: F.slice(F.array_sort(items), 1, leads)
+    parts = postings.groupBy("key", F.pmod(F.xxhash64("item"), F.lit(1024)).alias("part")).agg(F.count(F.lit(1)).alias("n"), cut(F.collect_list("item")).alias("some"))
+    return parts.groupBy("key").agg(F.sum("n").alias("n"), cut(F.flatten(F.collect_list("some"))).alias("leads")).where("n > 1")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", beyond: bool = False, posting: int = 256) -> DataFrame:

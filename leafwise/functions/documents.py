@@ -48,6 +48,23 @@ def is_json(col: Column | str, flags: ParseFlags = PLAIN) -> Column:
     return kernel(lambda t: status(t, flags)["number"] == 0, "boolean", col)
 
 
+def bytes_status(col: Column | str, flags: ParseFlags = PLAIN) -> Column:
+    """``parse_status`` of a text in UTF-8 bytes. With ``validate_encoding`` bytes that are no UTF-8 are an error where they
+    stand; without it they are read as replacement characters."""
+
+    def run(data: bytes):
+        try:
+            return status(data.decode("utf-8"), flags)
+        except UnicodeDecodeError as e:
+            if not flags.validate_encoding:
+                return status(data.decode("utf-8", "replace"), flags)
+            before = data[: e.start].decode("utf-8")
+            line, column = before.count("\n") + 1, len(before) - before.rfind("\n")
+            return {"code": "StringInvalidEncoding", "number": 12, "message": "Invalid encoding in string.", "offset": e.start, "line": line, "column": column}
+
+    return kernel(run, STATUS, col)
+
+
 def as_variant(col: Column | str) -> Column:
     """The text as a variant, by the built-in parser; null if that refuses it (as it does repeated names). It accepts
     what follows the document and lone surrogates: combine with ``is_json`` where that matters."""
@@ -225,6 +242,11 @@ def add_member(col: Column | str, name: str, value: Column) -> Column:
     return _edited(col, lambda v, new: dumps(Obj([*v, (name, parse(new)[0])])) if isinstance(v, Obj) and new is not None else None, PLAIN, "string", value)
 
 
+def add_raw(col: Column | str, name: str, text: Column) -> Column:
+    """A member whose value is ``text`` as it stands, unparsed; null if the document is no object."""
+    return _edited(col, lambda v, new: dumps(Obj([*v, (name, Raw(new))])) if isinstance(v, Obj) and new is not None else None, PLAIN, "string", text)
+
+
 def remove_member(col: Column | str, name: str, keep_order: bool = True) -> Column:
     """Without the first member of that name; without ``keep_order`` the last member takes its place."""
 

@@ -10,15 +10,26 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, _parse_datatype_string
 
 
+#: Bytes of a batch that are held as Python objects at once.
+PART_BYTES = 4 << 20
+
+
 def kernel(function: Callable, returns: str | DataType, *columns: Column | str) -> Column:
     """``function`` of each row's values. Rows with a null in the first column give null."""
     kind = _parse_datatype_string(returns) if isinstance(returns, str) else returns
     arrow = to_arrow_type(kind)
 
-    def run(*arrays: pa.Array) -> pa.Array:
+    def part(arrays: tuple[pa.Array, ...]) -> pa.Array:
         rows = zip(*(a.to_pylist(maps_as_pydicts="lossy") if pa.types.is_map(a.type) else a.to_pylist() for a in arrays), strict=True)
         return pa.array([None if r[0] is None else function(*r) for r in rows], arrow)
 
+    def run(*arrays: pa.Array) -> pa.Array:
+        n, size = len(arrays[0]), sum(a.nbytes for a in arrays)
+        step = max(1, n * PART_BYTES // max(PART_BYTES, size))  # rows that are Python objects at once
+        if step >= n:
+            return part(arrays)
+        return pa.concat_arrays([part(tuple(a.slice(k, step) for a in arrays)) for k in range(0, n, step)])
+
     if len(columns) == 1:
 
         def batch(a: pa.Array) -> pa.Array:

@@ -192,7 +192,7 @@ class _Parser:
                 if text[self.at : self.at + 1] == "i":
                     self.literal("inity", None)
                 value = math.inf
-            return Raw(text[start : self.at]) if self.flags.numbers_as_strings else -value if sign else value
+            return text[start : self.at] if self.flags.numbers_as_strings else -value if sign else value
         if not first.isascii() or not first.isdigit():
             self.fail("ValueInvalid", start + sign)
         m = _NUMBER.match(text, start)
@@ -202,7 +202,7 @@ class _Parser:
             self.fail("NumberMissFraction", self.at + 1)
         if following in ("e", "E") and m[2] is None and following:
             self.fail("NumberMissExponent", self.at + 1 + (text[self.at + 1 : self.at + 2] in ("+", "-") and text[self.at + 1 : self.at + 2] != ""))
-        return Raw(m[0]) if self.flags.numbers_as_strings else number(m[0], start)
+        return m[0] if self.flags.numbers_as_strings else number(m[0], start)
 
     def value(self, c: str):
         """A scalar, or an empty container whose opening bracket is read."""

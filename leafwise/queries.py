@@ -11,6 +11,7 @@ from leafwise.functions import documents as D, encodings, names, protos, schemas
 from leafwise.kernel.wire import Pool
 from leafwise.operators import documents as O
 from leafwise.plans import messages, paths
+from leafwise.sources import files
 from leafwise.sources.shared import shared_path
 from leafwise.streaming import flows
 
@@ -306,7 +307,17 @@ CORPUS = [
 ]
 
 
-@query()
+#: Of each text of the corpus: number and name of its error, and the byte offset.
+ERRORS = [
+    (1, "DocumentEmpty", 0), (1, "DocumentEmpty", 1), (2, "DocumentRootNotSingular", 2), (3, "ValueInvalid", 3), (3, "ValueInvalid", 3), (4, "ObjectMissName", 7), (4, "ObjectMissName", 1), (5, "ObjectMissColon", 5),
+    (6, "ObjectMissCommaOrCurlyBracket", 6), (7, "ArrayMissCommaOrSquareBracket", 3), (8, "StringUnicodeEscapeInvalidHex", 1), (9, "StringUnicodeSurrogateInvalid", 1), (10, "StringEscapeInvalid", 1),
+    (11, "StringMissQuotationMark", 4), (12, "StringInvalidEncoding", 2), (13, "NumberTooBig", 0), (14, "NumberMissFraction", 2), (15, "NumberMissExponent", 3), (3, "ValueInvalid", 0), (2, "DocumentRootNotSingular", 1),
+    (3, "ValueInvalid", 0), (7, "ArrayMissCommaOrSquareBracket", 2), (0, "None", 13), (0, "None", 8), (0, "None", 14), (0, "None", 2), (0, "None", 3),
+]
+_ERROR_ROWS = ", ".join("({}, {}, '{}', {}, {})".format(k, " || chr(1) || ".join("'" + part.replace("'", "''") + "'" for part in doc.split(chr(1))), code, number, at) for k, (doc, (number, code, at)) in enumerate(zip(CORPUS, ERRORS, strict=True)))
+
+
+@query(f'SELECT id::int AS id, doc, code, number::int AS number, place::bigint AS "offset", 1::bigint AS line, (place + 1)::bigint AS "column", number = 0 AS valid FROM (VALUES {_ERROR_ROWS}) v(id, doc, code, number, place)')
 def parse_error_codes(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(CORPUS)), "id int, doc string").withColumn("s", D.parse_status("doc"))
     return rows.select("id", "doc", "s.code", "s.number", "s.offset", "s.line", "s.column", D.is_json("doc").alias("valid"))
@@ -450,7 +461,7 @@ LINE_SQL = "l_orderkey, l_linenumber, l_partkey"
 def _lines(spark, sf_dir) -> DataFrame:
     """(keys, doc, pb): line items as messages."""
     doc = F.to_json(F.struct(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("number"), F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), F.array("l_returnflag", "l_linestatus").alias("tags"), F.struct(F.col("l_suppkey").alias("supp")).alias("extra"), F.base64(F.encode("l_linestatus", "UTF-8")).alias("raw")))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", doc.alias("doc"))
+    rows = files.widened(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", doc.alias("doc")))
     return rows.withColumn("pb", protos.json_to_pb("doc", POOL, "Line"))
 
 
@@ -507,3 +518,5 @@ def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFr
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry", "orders_doc"]
+
+from leafwise import parity  # noqa: E402, F401  registers more queries

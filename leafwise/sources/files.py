@@ -26,6 +26,13 @@ def read_concatenated(spark: SparkSession, path: str, encoding: str | None = Non
     return parts.select("file", "e.doc_idx", F.col("e.text").alias("doc"), "e.start", "e.end", "e.error")
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has fewer (as a file of one row group has): kernels run at
+    the speed of their tasks' cores. A table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_lines(df: DataFrame, path: str, col: str = "doc", compact: bool = True) -> None:
     """One document a line; ``compact`` first takes out white space, so that none holds a line end."""
     df.select(D.condense(col) if compact else F.col(col)).write.text(path)
@@ -78,4 +85,4 @@ def cursor(col: Column, offset: Column) -> Column:
     return F.struct(line.alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("column"))
 
 
-__all__ = ["cursor", "framed", "read_concatenated", "read_files", "read_lines", "read_messages", "write_lines"]
+__all__ = ["cursor", "framed", "read_concatenated", "read_files", "read_lines", "read_messages", "widened", "write_lines"]

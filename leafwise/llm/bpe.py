@@ -32,6 +32,8 @@ from leafwise.llm.common import chunks, shuffle_partitions, stored
 BLOCK_ROWS, BLOCK_BYTES = 16384, 16 << 20
 #: Distinct words whose ids a bucket holds at once; beyond that it starts anew, which repeats work but changes no result.
 HELD_WORDS = 1_000_000
+#: Of compression: blocks lie on disk twice, as a table and in the shuffle.
+LEVEL = 9
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -67,22 +69,27 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[start[i] : end[i]]] for i in range(n) if alive[i]]
 
 
-def _pack(sizes: list[int], parts: list[bytes]) -> bytes:
-    """Byte strings with their sizes (-1: null), compressed."""
-    return zstandard.compress(struct.pack(f"<I{len(sizes)}q", len(sizes), *sizes) + b"".join(parts), 3)
+def _planes(values) -> bytes:
+    """Unsigned 32-bit integers byte plane by byte plane, which compresses better."""
+    return np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unpack(data: bytes) -> Iterator[bytes | None]:
-    raw = zstandard.decompress(data)
-    (n,) = struct.unpack_from("<I", raw)
-    at = 4 + 8 * n
-    for size in struct.unpack_from(f"<{n}q", raw, 4):
-        yield None if size < 0 else raw[at : at + size]
-        at += max(0, size)
+def _from_planes(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T.copy().view("<u4").ravel()
+
 
+def _pack(parts: list[bytes]) -> bytes:
+    """Byte strings with their sizes, compressed."""
+    return zstandard.compress(struct.pack("<I", len(parts)) + _planes([len(w) for w in parts]) + b"".join(parts), LEVEL)
 
-def _pack_words(words: list[bytes]) -> bytes:
-    return _pack([len(w) for w in words], words)
+
+def _unpack(data: bytes) -> Iterator[bytes]:
+    raw = zstandard.decompress(data)
+    (n,) = struct.unpack_from("<I", raw)
+    at = 4 + 4 * n
+    for size in _from_planes(raw, n, 4).tolist():
+        yield raw[at : at + size]
+        at += size
 
 
 def _array_bytes(column: pa.Array) -> bytes:
@@ -114,11 +121,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     source = df.select(df[id_col].alias("row"), df[text_col].alias("text"))
     find = regex.compile(pattern)
     n = shuffle_partitions(spark)
-    buckets = 4 * n
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a block (bucket null): ids, the words that are tokens, the documents' positions; and one row for each
-        bucket with the words that are to be encoded there. Positions count the tokens' words first, then the buckets'."""
+        bucket with the words that are to be encoded there. Positions are ranks by frequency."""
         known = ranks.value
         for batch in chunks(batches, "text", BLOCK_ROWS, BLOCK_BYTES):
             block = uuid.uuid4().int >> 65
@@ -130,25 +136,28 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 sizes.append(len(found))
                 digests.append(_digest(text.encode("utf-8", "surrogatepass")))
                 runs.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.uint32, len(found)))
+            flat = np.concatenate(runs) if place else np.zeros(0, np.uint32)
+            words = list(place)
+            counts = np.bincount(flat, minlength=len(words)).tolist()
+            order = sorted(range(len(words)), key=lambda k: (-counts[k], words[k]))  # frequent words get small numbers
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            coded = [words[k].encode("utf-8", "surrogatepass") for k in order]
             home: list[int] = []
-            moved = np.zeros(len(place), np.uint32)
-            shares: dict[int, list[tuple[int, bytes]]] = {}
-            for w, k in place.items():
-                b = w.encode("utf-8", "surrogatepass")
-                if (i := known.get(b)) is not None:
-                    moved[k] = len(home)
+            shares: dict[int, list[bytes]] = {}
+            where = []  # 0: a token itself; else the bucket, counted from 1
+            for w in coded:
+                if (i := known.get(w)) is not None:
                     home.append(i)
+                    where.append(0)
                 else:
-                    shares.setdefault(zlib.crc32(b) % buckets, []).append((k, b))
-            at = len(home)
+                    bucket = zlib.crc32(w) % n
+                    shares.setdefault(bucket, []).append(w)
+                    where.append(bucket + 1)
             keys = sorted(shares)
-            for key in keys:
-                for k, _ in shares[key]:
-                    moved[k] = at
-                    at += 1
-            flat = moved[np.concatenate(runs)] if place else np.zeros(0, np.uint32)
-            data = zstandard.compress(struct.pack("<II", len(sizes), len(home)) + np.array(sizes, "<u4").tobytes() + b"".join(digests) + np.array(home, "<u4").tobytes() + flat.astype("<u4").tobytes(), 3)
-            packed = [_pack_words([b for _, b in shares[key]]) for key in keys]
+            head = struct.pack("<III", len(sizes), len(coded), len(home)) + _planes(sizes) + b"".join(digests) + _planes(where) + _planes(home)
+            data = zstandard.compress(head + _planes(rank[flat]), LEVEL)
+            packed = [_pack(shares[key]) for key in keys]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([None, *keys], pa.int32()), pa.array([block] * (len(keys) + 1), pa.int64()), pa.array([_array_bytes(batch.column("row")), *[None] * len(keys)], pa.binary()), pa.array([data, *packed], pa.binary())],
                 ["bucket", "block", "rows", "data"],
@@ -167,37 +176,45 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                     if got is None:
                         got = held[w] = np.array(merge_word(w, ranks.value), "<u4").tobytes()
                     ids.append(got)
-                made.append(_pack_words(ids))
+                made.append(_pack(ids))
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("block"), batch.column("rows"), pa.array(made, pa.binary())], ["bucket", "block", "rows", "data"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by block and bucket, the block's own row last: its buckets' ids first, in the order of their positions."""
+        """Sorted by block and bucket, the block's own row last: its words' ids come first."""
         spelled = [b""] * (max(ranks.value.values(), default=-1) + 1)
         for w, i in ranks.value.items():
             spelled[i] = w
-        current, ids = None, []
+        current, ids = None, {}
         for batch in batches:
-            for _, block, rows, data in zip(*(batch.column(k).to_pylist() for k in ("bucket", "block", "rows", "data")), strict=True):
+            for bucket, block, rows, data in zip(*(batch.column(k).to_pylist() for k in ("bucket", "block", "rows", "data")), strict=True):
                 if block != current:
-                    current, ids = block, []
+                    current, ids = block, {}
                 if rows is None:
-                    ids.extend(_unpack(data))
+                    ids[bucket] = list(_unpack(data))
                     continue
                 raw = zstandard.decompress(data)
-                n_docs, n_home = struct.unpack_from("<II", raw)
-                sizes = np.frombuffer(raw, "<u4", n_docs, 8)
-                at = 8 + 4 * n_docs
+                n_docs, n_words, n_home = struct.unpack_from("<III", raw)
+                at = 12
+                sizes = _from_planes(raw, n_docs, at)
+                at += 4 * n_docs
                 digests = [raw[at + 16 * k : at + 16 * k + 16] for k in range(n_docs)]
                 at += 16 * n_docs
-                table = [raw[at + 4 * k : at + 4 * k + 4] for k in range(n_home)] + ids
-                flat = np.frombuffer(raw, "<u4", -1, at + 4 * n_home)
+                where = _from_planes(raw, n_words, at)
+                at += 4 * n_words
+                table = [b""] * n_words
+                ids[-1] = [np.uint32(i).tobytes() for i in _from_planes(raw, n_home, at).tolist()]
+                at += 4 * n_home
+                for key, own in ids.items():
+                    for k, x in zip(np.flatnonzero(where == key + 1).tolist(), own, strict=True):
+                        table[k] = x
+                flat = _from_planes(raw, int(sizes.sum(dtype=np.int64)), at)
                 ends = np.cumsum(sizes, dtype=np.int64)
                 names = _array_of(rows)
                 for first in range(0, n_docs, 256):
                     out: list[list] = [[], [], []]
                     last = min(n_docs, first + 256)
                     for k in range(first, last):
-                        joined = b"".join(map(table.__getitem__, flat[ends[k] - sizes[k] : ends[k]].tolist()))
+                        joined = b"".join(map(table.__getitem__, flat[ends[k] - int(sizes[k]) : ends[k]].tolist()))
                         tokens = np.frombuffer(joined, "<u4")
                         decoded = b"".join(map(spelled.__getitem__, tokens.tolist()))
                         if digest:

@@ -12,8 +12,8 @@ is treated apart. Nodes below ``least`` go from every page, those in marked main
 ``least_main``. Of what remains, main content is the page's text unless the page has more text outside it.
 
 Contents are counted by (host, node, content), so a hot host is spread by its contents, and as 64-bit hashes, so that no
-text is shuffled for it. Each host's list of unimportant nodes, bounded by its templates, is joined to its pages, which are
-salted for that.
+text is shuffled for it. Each host's list of unimportant nodes, bounded by its templates, is joined to its pages: all lists
+are broadcast if they are counted to be small, else a host's pages are salted for the join.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leafwise.llm.common import mapped, stored
+from leafwise.llm.common import BROADCAST_ROWS, mapped, stored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -213,10 +213,14 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ids pass as they are, ties of importance stay together; an empty table gives an empty result; columns beyond the
     three are not read. Unclosed and stray tags, quotes and comments are read as browsers do, roughly."""
     parsed = stored(parse_pages(df, id_col, url_col, html_col))
-    low = style_tree(parsed).where(F.col("importance") < least)
-    low = low.groupBy("host").agg(F.collect_set("node").alias("low"), F.collect_set(F.when(F.col("importance") < least_main, F.col("node"))).alias("lowest"))
-    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pages = parsed.drop("nodes").withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).join(low, ["host", "salt"], "left")
+    nodes = stored(style_tree(parsed).where(F.col("importance") < least).select("host", "node", (F.col("importance") < least_main).alias("firm")))
+    low = nodes.groupBy("host").agg(F.collect_set("node").alias("low"), F.collect_set(F.when(F.col("firm"), F.col("node"))).alias("lowest"))
+    pages = parsed.drop("nodes")
+    if nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # counted: two numbers a row
+        pages = pages.join(F.broadcast(low), "host", "left")
+    else:
+        low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pages = pages.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).join(low, ["host", "salt"], "left")
     gone = lambda b: F.coalesce(F.array_contains("low", b["node"]) & (~b["main"] | F.array_contains("lowest", b["node"])), F.lit(False))
     kept = pages.withColumn("kept", F.filter("blocks", lambda b: ~gone(b)))
     size = lambda main: F.aggregate(F.filter("kept", lambda b: b["main"] == main), F.lit(0), lambda a, b: a + F.length(b["text"]))

@@ -309,7 +309,9 @@ def test_importance_against_counting(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_style_tree_prunes_inside_marked_content(spark):
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_style_tree_prunes_inside_marked_content(spark, monkeypatch, rows):
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", rows)
     made = [(i, f"http://h.org/{i}", MARKED.format(i), "x", 1) for i in range(40)] + [(100 + i, f"http://few.org/{i}", MARKED.format(i), "x", 1) for i in range(2)]
     made += [(200 + i, f"http://same.org/{i}", MARKED.format(7), "x", 1) for i in range(40)]  # copies of one page prove nothing
     df = spark.createDataFrame(made, "page_id bigint, url string, html string, host string, blocks int")

@@ -258,8 +258,9 @@ def near_copies(held: DataFrame, df: DataFrame, id_col: str, text_col: str, few:
     others, one at first and four times as many each round; copies that are found leave, as do the rows that were
     compared. So rounds are few, no list makes all pairs while it holds copies, and none is left out."""
     postings = held.select("item", F.explode(F.array(*[F.xxhash64(F.lit(k), _key(F.get("wide", F.lit(k // 14)), STEINER[k % 14])) for k in range(14 * WIDE)])).alias("key"))
-    shared = postings.groupBy("key").agg(F.min("item").alias("x"), F.max("item").alias("y")).where("x <> y").select("key")
-    postings = stored(postings.join(shared, "key", "left_semi").distinct())
+    # an item posts a key once (but for equal hashes, which keep a list too many), so lists are counted, not compared
+    shared = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    postings = stored(postings.join(small(shared), "key", "left_semi").distinct())
     items = stored(postings.select("item", "item.doc_id", "item.h").distinct())
     texts = df.withColumn("__h", F.xxhash64(df[text_col]))
     wanted = small(items.select(F.col("doc_id").alias("__i"), F.col("h").alias("__k")).distinct())

@@ -18,7 +18,8 @@ Adaptive execution splits the joins of a large component's root; keys of fingerp
 ``deduplicated`` can go beyond three bits: near copies by 5-word shingles of a Jaccard similarity of 0.8 differ in about
 seven bits of the 3-word fingerprint, out of reach of any index over 64 bits. For them a wide fingerprint of ``WIDE`` words
 of 64 bits is taken over the set of a text's words, which an edit changes far less than its shingles. It is posted under
-the same positional keys, fourteen a word; candidates are verified by their exact sets of 5-word shingles.
+the same positional keys, fourteen a word; candidates are verified by their exact sets of 5-word shingles. Texts that have
+their words, but not their shingles, in common crowd such lists; they are told apart by prefix filtering with places.
 """
 
 from __future__ import annotations
@@ -251,12 +252,39 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(close & (common >= LEAST * (sizes - common))).select("a", "b")
 
 
+def _may(x: str, y: str) -> Column:
+    """Whether sets that share their ``at``-th shingle (from 0, by one order) and none before it can be as similar as LEAST."""
+    left = F.least(*[F.col(f"{k}.size") - F.col(f"{k}.at") for k in (x, y)])
+    return (1 + LEAST) * left + 1e-6 >= LEAST * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+
+
+def _lesser() -> Column:
+    """The end of a posting if it can be the smaller set of such a pair; every pair has one such end."""
+    return F.when((1 + LEAST) * F.col("at") <= (1 - LEAST) * F.col("size") + 1e-6, F.struct("item", "at", "size"))
+
+
+def prefixes(items: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, item, at, size): the shingles by which items are compared. Of two sets as similar as LEAST, ordered by how
+    many items have a shingle, rare ones first, the first shingles hold one of both; it is posted with its place. Those of
+    one item only lead to nobody, so they take places but are not posted."""
+    each = sets.join(items, "item", "left_semi").select("item", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
+    shared = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    ranked = each.join(small(shared), "key").groupBy("item", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    own = (F.col("size") - F.size("shared")).alias("own")
+    room = F.col("size") - F.ceil(LEAST * F.col("size") - 1e-6).cast("int") + 1 - own
+    first = ranked.where(room > 0).select("item", "size", own, F.posexplode(F.slice("shared", F.lit(1), room)).alias("k", "s"))
+    return first.select(F.col("s.key").alias("key"), "item", (F.col("own") + F.col("k")).alias("at"), "size")
+
+
 def near_copies(held: DataFrame, df: DataFrame, id_col: str, text_col: str, few: int = 16) -> DataFrame:
     """(item): rows of ``held`` (item, wide) that are near copies of an earlier one, by 5-word shingles.
 
-    In a list of up to ``few`` rows every pair is verified. In a longer one only the first rows are compared with all
-    others, one at first and four times as many each round; copies that are found leave, as do the rows that were
-    compared. So rounds are few, no list makes all pairs while it holds copies, and none is left out."""
+    In a list of up to ``few`` rows every pair is verified. In a longer one the first row is compared with all others and
+    copies that are found leave. The rows that are left in such lists share words, but not the text: they go on in lists
+    of their rarest shingles (``prefixes``), which bring together all near copies and hardly any others. In long ones of
+    those again only the first rows that can be the smaller of a pair are compared with all others, four times as many
+    each round; copies that are found leave, as do the rows that were compared. So rounds are few, and no near copy of a
+    list is left out."""
     postings = held.select("item", F.explode(F.array(*[F.xxhash64(F.lit(k), _key(F.get("wide", F.lit(k // 14)), STEINER[k % 14])) for k in range(14 * WIDE)])).alias("key"))
     # an item posts a key once (but for equal hashes, which keep a list too many), so lists are counted, not compared
     shared = stored(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
@@ -266,33 +294,38 @@ def near_copies(held: DataFrame, df: DataFrame, id_col: str, text_col: str, few:
     wanted = small(items.select(F.col("doc_id").alias("__i"), F.col("h").alias("__k")).distinct())
     texts = texts.join(wanted, texts[id_col].eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k")), "left_semi")
     sets = stored(shingle_sets(texts, id_col, text_col).dropDuplicates(["doc_id", "h"]).select(_order().alias("item"), "hashes"))
+    postings = postings.select("key", "item", F.lit(0).alias("at"), F.lit(0).alias("size"))
     out, leads = None, 1
     while True:
         tagged = stored(postings.join(stored(_lists(postings, leads)), "key"))
-        rest = tagged.where(F.col("n") <= max(few, leads)).select("key", "item")
-        x, y = rest.alias("x"), rest.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item"))).select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
+        rest = tagged.where(F.col("n") <= max(few, leads)).select("key", F.struct("item", "at", "size").alias("end"))
+        x, y = rest.select("key", F.col("end").alias("x")), rest.select("key", F.col("end").alias("y"))
+        near = x.join(y, "key").where((F.col("x.item") < F.col("y.item")) & _may("x", "y"))
         crowded = tagged.where(F.col("n") > max(few, leads))
         more = not crowded.isEmpty()
         if more:
-            stars = crowded.select(F.explode("leads").alias("a"), F.col("item").alias("b")).where("b > a")
-            pairs = pairs.unionByName(stars)
+            stars = crowded.select("key", F.explode("leads").alias("x"), F.struct("item", "at", "size").alias("y"))
+            near = near.unionByName(stars.where((F.col("x.item") != F.col("y.item")) & _may("x", "y")))
+        pairs = near.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b"))
         found = stored(verified(pairs.distinct(), sets).select(F.col("b").alias("item")).distinct())
         out = found if out is None else out.unionByName(found)
         if not more:
             return out.distinct()
-        postings = stored(crowded.where(F.col("item") > F.element_at("leads", -1)).select("key", "item").join(found, "item", "left_anti"))
+        left = crowded.where(~F.exists("leads", lambda lead: lead["item"] == F.col("item"))).select("key", "item", "at", "size").join(found, "item", "left_anti")
+        postings = stored(left if leads > 1 else prefixes(stored(left.select("item").distinct()), sets))
         leads *= 4
 
 
 def _lists(postings: DataFrame, leads: int) -> DataFrame:
-    """(key, n, leads) of the lists of two and more: their length and first items. Lists are cut to parts for that, each
-    of which gives its first items."""
+    """(key, n, leads) of the lists that can hold a pair: their length and their first lesser ends. Lists are cut to parts
+    for that, each of which gives its first ones."""
     if leads == 1:
-        return postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(F.min("item")).alias("leads")).where("n > 1")
-    cut = lambda items: F.slice(F.array_sort(items), 1, leads)
-    parts = postings.groupBy("key", F.pmod(F.xxhash64("item"), F.lit(1024)).alias("part")).agg(F.count(F.lit(1)).alias("n"), cut(F.collect_list("item")).alias("some"))
-    return parts.groupBy("key").agg(F.sum("n").alias("n"), cut(F.flatten(F.collect_list("some"))).alias("leads")).where("n > 1")
+        lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_compact(F.array(F.min(_lesser()))).alias("leads"))
+    else:
+        cut = lambda ends: F.slice(F.array_sort(ends), 1, leads)
+        parts = postings.groupBy("key", F.pmod(F.xxhash64("item"), F.lit(1024)).alias("part")).agg(F.count(F.lit(1)).alias("n"), cut(F.collect_list(_lesser())).alias("some"))
+        lists = parts.groupBy("key").agg(F.sum("n").alias("n"), cut(F.flatten(F.collect_list("some"))).alias("leads"))
+    return lists.where((F.col("n") > 1) & (F.size("leads") > 0))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", beyond: bool = False, posting: int = 256) -> DataFrame:

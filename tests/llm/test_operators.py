@@ -398,6 +398,31 @@ def test_near_copies_beyond_three_bits(spark):
     assert len({j for _, j in pairs}) <= 0.05 * copies
 
 
+@pytest.mark.parametrize("few", [1, 16])
+def test_texts_of_the_same_words_do_not_meet_in_pairs(spark, monkeypatch, few):
+    """All rows are in the same long lists; near copies among them are found, and not by all pairs."""
+    rng = np.random.default_rng(7)
+    vocabulary, common = [f"w{k}" for k in range(60)], [f"c{k}" for k in range(100)]
+    made = [list(rng.permutation(vocabulary)) for _ in range(120)]
+    made += [[f"u{n}x{k}" for k in range(24)] + common for n in range(60)]  # similar to 0.66: one passage in all
+    copies = [list(made[int(k)]) for k in rng.integers(0, len(made), 30)]
+    for words in copies:
+        words[int(rng.integers(0, len(words)))] = "other"
+    made = [" ".join(made[k] if k < len(made) else copies[k - len(made)]) for k in rng.permutation(len(made) + len(copies))]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in made]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    order = F.struct(F.lit(False).alias("none"), "doc_id", F.xxhash64("text").alias("h")).alias("item")
+    held = df.select(order, F.array(*[F.lit(0).cast("bigint")] * simhash.WIDE).alias("wide"))
+    counts, whole = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, sets: counts.append(pairs.count()) or whole(pairs, sets))
+    gone = {r.item.doc_id for r in simhash.near_copies(held, df, "doc_id", "text", few).collect()}
+    assert all(any(near(i, j) for i in range(j)) for j in gone) and len(gone) >= 25
+    kept = [j for j in range(len(made)) if j not in gone]
+    assert not any(near(i, j) for i in kept for j in kept if i < j)
+    assert sum(counts) <= 4 * len(made)  # all pairs would be 21,945
+
+
 def test_fingerprints_by_windows_are_those_of_the_whole_text():
     text = ("ä Bc dE\tf " * 3000).encode()
     whole = brute_fingerprint(text.decode())

@@ -78,6 +78,22 @@ def _from_planes(data: bytes, n: int, at: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T.copy().view("<u4").ravel()
 
 
+#: Ranks below it take one byte; it stands for all others, which follow in byte planes.
+ESCAPE = 255
+
+
+def _ranks(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers that are mostly small, so that small ones compress apart from the bytes of large ones."""
+    return np.minimum(values, ESCAPE).astype(np.uint8).tobytes() + _planes(values[values >= ESCAPE] - ESCAPE)
+
+
+def _from_ranks(data: bytes, n: int, at: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n, at).astype(np.uint32)
+    large = out == ESCAPE
+    out[large] += _from_planes(data, int(large.sum()), at + n)
+    return out
+
+
 def _pack(parts: list[bytes]) -> bytes:
     """Byte strings with their sizes, compressed."""
     return zstandard.compress(struct.pack("<I", len(parts)) + _planes([len(w) for w in parts]) + b"".join(parts), LEVEL)
@@ -139,24 +155,22 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             flat = np.concatenate(runs) if place else np.zeros(0, np.uint32)
             words = list(place)
             counts = np.bincount(flat, minlength=len(words)).tolist()
-            order = sorted(range(len(words)), key=lambda k: (-counts[k], words[k]))  # frequent words get small numbers
+            spelled = [w.encode("utf-8", "surrogatepass") for w in words]
+            goes = [0 if w in known else zlib.crc32(w) % n + 1 for w in spelled]  # 0: a token itself; else the bucket, counted from 1
+            order = sorted(range(len(words)), key=lambda k: (-counts[k], goes[k], words[k]))  # frequent words get small numbers; equals lie by bucket
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
-            coded = [words[k].encode("utf-8", "surrogatepass") for k in order]
             home: list[int] = []
             shares: dict[int, list[bytes]] = {}
-            where = []  # 0: a token itself; else the bucket, counted from 1
-            for w in coded:
-                if (i := known.get(w)) is not None:
-                    home.append(i)
-                    where.append(0)
+            where = [goes[k] for k in order]
+            for k in order:
+                if goes[k]:
+                    shares.setdefault(goes[k] - 1, []).append(spelled[k])
                 else:
-                    bucket = zlib.crc32(w) % n
-                    shares.setdefault(bucket, []).append(w)
-                    where.append(bucket + 1)
+                    home.append(known[spelled[k]])
             keys = sorted(shares)
-            head = struct.pack("<III", len(sizes), len(coded), len(home)) + _planes(sizes) + b"".join(digests) + _planes(where) + _planes(home)
-            data = zstandard.compress(head + _planes(rank[flat]), LEVEL)
+            head = struct.pack("<III", len(sizes), len(words), len(home)) + _planes(sizes) + b"".join(digests) + _planes(where) + _planes(home)
+            data = zstandard.compress(head + _ranks(rank[flat]), LEVEL)
             packed = [_pack(shares[key]) for key in keys]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([None, *keys], pa.int32()), pa.array([block] * (len(keys) + 1), pa.int64()), pa.array([_array_bytes(batch.column("row")), *[None] * len(keys)], pa.binary()), pa.array([data, *packed], pa.binary())],
@@ -207,7 +221,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 for key, own in ids.items():
                     for k, x in zip(np.flatnonzero(where == key + 1).tolist(), own, strict=True):
                         table[k] = x
-                flat = _from_planes(raw, int(sizes.sum(dtype=np.int64)), at)
+                flat = _from_ranks(raw, int(sizes.sum(dtype=np.int64)), at)
                 ends = np.cumsum(sizes, dtype=np.int64)
                 names = _array_of(rows)
                 for first in range(0, n_docs, 256):

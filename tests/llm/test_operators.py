@@ -498,6 +498,33 @@ def tokenizer():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
 
 
+@pytest.mark.parametrize("values", [[], [0], [254, 255, 256, 65535, 1 << 31, 0, (1 << 32) - 1], list(range(1000))])
+def test_ranks_of_words_come_back(values):
+    packed = b"x" + bpe._ranks(np.array(values, np.uint32))
+    assert bpe._from_ranks(packed, len(values), 1).tolist() == values
+
+
+def test_blocks_of_byte_bpe_take_little_more_than_their_words_tell(spark, monkeypatch):
+    """What is stored and shuffled of a block's positions is close to the entropy of its words."""
+    rng = np.random.default_rng(5)
+    drawn = rng.zipf(1.2, 200_000) % 20_000
+    texts = ["".join(f" qz{k:05d}xj".translate(str.maketrans("0123456789", "abcdefghij")) for k in part) for part in np.array_split(drawn, 50)]
+    sizes, whole = [], bpe.stored
+
+    def seen(df):
+        held = whole(df)
+        sizes.append(held.where("bucket is null").agg(F.sum(F.length("data"))).first()[0])
+        return held
+
+    monkeypatch.setattr(bpe, "stored", seen)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    out = bpe.encode(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert out.where("not round_trip").count() == 0 and out.count() == 50
+    share = np.unique(drawn, return_counts=True)[1] / drawn.size
+    told = -(share * np.log2(share)).sum() * drawn.size / 8 + 16 * 50
+    assert sizes[0] <= 1.1 * told
+
+
 def test_byte_bpe(spark, docs, rows, none, tokenizer):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     expected = []

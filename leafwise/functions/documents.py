@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 from leafwise.functions.kernels import kernel
 from leafwise.kernel import dom, flat
 from leafwise.kernel.emit import WriteError, dumps, format_double as _format_double, jsonx as _jsonx, scalar
-from leafwise.kernel.lexer import Obj, ParseError, Raw, byte_offset, kind, parse, split, status, tokens as _tokens
+from leafwise.kernel.lexer import Obj, ParseError, Raw, byte_offset, kind, parse, spans, status, tokens as _tokens
 from leafwise.kernel.pointer import Pointer, traverse as _traverse
 from leafwise.options import FlattenOptions, ParseFlags, WriteFlags
 
@@ -75,7 +75,7 @@ def split_docs(col: Column | str, flags: ParseFlags = LENIENT) -> Column:
     """array of (doc_idx, text, start, end, error) of documents laid end to end; byte offsets; ends at an error."""
 
     def run(text: str):
-        return [{"doc_idx": k, "text": None if e else text[a:b], "start": byte_offset(text, a), "end": byte_offset(text, b), "error": e.code if e else None} for k, (a, b, _, e) in enumerate(split(text, flags))]
+        return [{"doc_idx": k, "text": None if e else text[a:b], "start": start, "end": end, "error": e.code if e else None} for k, (a, b, start, end, e) in enumerate(spans(text, flags))]
 
     return kernel(run, "array<struct<doc_idx:int,text:string,start:bigint,end:bigint,error:string>>", col)
 

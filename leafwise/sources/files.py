@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leafwise.functions import documents as D
 from leafwise.functions.encodings import decode_text
 from leafwise.functions.kernels import kernel
+from leafwise.kernel.lexer import spans
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -20,10 +24,27 @@ def read_files(spark: SparkSession, path: str, encoding: str | None = None) -> D
     return raw.select(decode_text(F.col("content"), encoding).alias("doc"), F.col("path").alias("file"))
 
 
+#: Documents of a file that are Python objects at once.
+PART_DOCS = 10_000
+
+
 def read_concatenated(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """(file, doc_idx, doc, start, end, error): documents laid end to end in each file."""
-    parts = read_files(spark, path, encoding).select("file", F.explode(D.split_docs("doc")).alias("e"))
-    return parts.select("file", "e.doc_idx", F.col("e.text").alias("doc"), "e.start", "e.end", "e.error")
+    """(file, doc_idx, doc, start, end, error): documents laid end to end in each file. A file's text is held once, its
+    documents part by part."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text, file = batch.column(0)[k].as_py(), batch.column(1).slice(k, 1)
+                found = enumerate(spans(text)) if text is not None else iter(())
+                while part := list(islice(found, PART_DOCS)):
+                    docs = [None if e else text[a:b] for _, (a, b, _, _, e) in part]
+                    columns = {"file": file.take(pa.array([0] * len(part))), "doc_idx": pa.array([i for i, _ in part], pa.int32()), "doc": pa.array(docs, pa.string())}
+                    columns |= {name: pa.array([x[at] for _, x in part], pa.int64()) for name, at in (("start", 2), ("end", 3))}
+                    columns["error"] = pa.array([x[4] and x[4].code for _, x in part], pa.string())
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    return read_files(spark, path, encoding).select("doc", "file").mapInArrow(run, "file string, doc_idx int, doc string, start bigint, end bigint, error string")
 
 
 def widened(df: DataFrame) -> DataFrame:

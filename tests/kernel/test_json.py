@@ -190,3 +190,40 @@ def test_patterns(pattern, text, want):
 def test_bad_patterns(pattern):
     with pytest.raises(regexes.PatternError):
         regexes.translate(pattern)
+
+
+def test_documents_end_to_end_take_time_in_proportion():
+    """Byte offsets were counted from the start of the text for each document, which grew with the square of the text."""
+    from time import perf_counter
+
+    from leafwise.kernel.lexer import byte_offset, spans, split
+
+    for text in ('{"a":1} [2]\n3 [', '1.5 2. 3', "1e5 1e", "12.5e1x", '"é" {"a":"😀"} 7', " ", "1 -", '{"a":1,"a":2}{"b":12345678901234567890}', '"\\ud83d\\ude00" "\\uD800"', "true false nulL", "NaN", "[1}", "01", '"a\x01"'):
+        want = [(a, b, byte_offset(text, a), byte_offset(text, b), e and e.code) for a, b, _, e in _slow_split(text)]
+        assert [(a, b, s, t, e and e.code) for a, b, s, t, e in spans(text)] == want, text
+        assert [(a, b, e and e.code) for a, b, _, e in split(text)] == [(a, b, e) for a, b, _, _, e in want]
+    for letter in ("e", "é"):
+        text = f'{{"event_id":12345,"k":"{letter}"}}\n' * 60_000
+        began = perf_counter()
+        assert sum(1 for _ in spans(text)) == 60_000
+        assert perf_counter() - began < 6
+
+
+def _slow_split(text):
+    from leafwise.kernel.lexer import ParseError, _Parser
+    from leafwise.options import ParseFlags
+
+    at = 0
+    while True:
+        p = _Parser(text, ParseFlags(stop_when_done=True))
+        p.at = at
+        try:
+            if not p.space():
+                return
+            start = p.at
+            value = p.document()
+        except ParseError as e:
+            yield at, e.position, None, e
+            return
+        at = p.at
+        yield start, at, value, None

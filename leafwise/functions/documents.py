@@ -6,15 +6,21 @@ A text that cannot be parsed gives null; ``parse_status`` tells why. Where a bui
 
 from __future__ import annotations
 
+import gc
 from dataclasses import replace
+from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
-from leafwise.functions.kernels import kernel
+from leafwise.functions.kernels import kernel, lists, ordinals, parts_kernel, structs
 from leafwise.kernel import dom, flat
 from leafwise.kernel.emit import WriteError, dumps, format_double as _format_double, jsonx as _jsonx, scalar
-from leafwise.kernel.lexer import Obj, ParseError, Raw, byte_offset, kind, parse, spans, status, tokens as _tokens
-from leafwise.kernel.pointer import Pointer, traverse as _traverse
+from leafwise.kernel.lexer import MISSING, UNSURE, Obj, ParseError, Raw, byte_offset, event_columns, kind, parse, parse_sure, spans, status
+from leafwise.kernel.pointer import Pointer, apart, node_columns
 from leafwise.options import FlattenOptions, ParseFlags, WriteFlags
 
 STATUS = "struct<code:string,number:int,message:string,offset:bigint,line:bigint,column:bigint>"
@@ -23,16 +29,60 @@ ENTRY = "struct<ord:int,path:string,vtype:string,value:string>"
 PLAIN, LENIENT = ParseFlags(), ParseFlags(stop_when_done=True)
 
 
-def _edited(col: Column | str, edit, flags: ParseFlags = PLAIN, returns: str = "string", *more) -> Column:
-    """``edit`` of each parsed text; null where parsing, or the edit, fails."""
+#: The last part of a column that was parsed, with its key and values: kernels of one batch share them.
+_HELD: list = [None, None, None]
+
 
-    def run(text: str, *rest):
+def parsed(texts: pa.Array, flags: ParseFlags = PLAIN) -> list:
+    """Each text's value, ``MISSING`` for nulls and what cannot be parsed. Not to be changed: other kernels may get them too."""
+    key = flags, texts.offset, len(texts), *(0 if b is None else b.address for b in texts.buffers())
+    if _HELD[0] != key:
+        _HELD[:] = None, None, None
+        unsure = pc.match_substring_regex(texts, UNSURE).to_pylist() if flags == PLAIN else [True] * len(texts)
+        collects = gc.isenabled()
+        gc.disable()  # nothing here has cycles, and a part is bounded
         try:
-            return edit(parse(text, flags)[0], *rest)
-        except (ParseError, WriteError, flat.FlatError):
-            return None
+            values = [_value(t, u, flags) for t, u in zip(texts.to_pylist(), unsure, strict=True)]
+        finally:
+            if collects:
+                gc.enable()
+        _HELD[:] = key, texts, values
+    return _HELD[2]
+
+
+def _value(text: str | None, unsure: bool, flags: ParseFlags):
+    try:
+        return MISSING if text is None else parse(text, flags)[0] if unsure else parse_sure(text)
+    except ParseError:
+        return MISSING
+
+
+def _edited(col: Column | str, edit, flags: ParseFlags = PLAIN, returns: str = "string", *more) -> Column:
+    """``edit`` of each parsed text; null where parsing, or the edit, fails. It leaves the value as it is."""
+    arrow = to_arrow_type(_parse_datatype_string(returns))
+
+    def part(texts: pa.Array, *rest: pa.Array) -> pa.Array:
+        out = []
+        for v, *others in zip(parsed(texts, flags), *(r.to_pylist() for r in rest), strict=True):
+            try:
+                out.append(None if v is MISSING else edit(v, *others))
+            except (ParseError, WriteError, flat.FlatError):
+                out.append(None)
+        return pa.array(out, arrow)
+
+    return parts_kernel(part, returns, col, *more)
+
 
-    return kernel(run, returns, col, *more)
+def _listed(col: Column | str, part, returns: str, flags: ParseFlags = PLAIN) -> Column:
+    """Arrays of structs by ``part``, which makes of parsed values the lists' ends, whether each is good, and columns."""
+    arrow = to_arrow_type(_parse_datatype_string(returns))
+    return parts_kernel(lambda texts: lists(*part(parsed(texts, flags)), arrow), returns, col)
+
+
+@lru_cache(1000)
+def _constant(text: str):
+    """The value of a text that is often given again. Not to be changed."""
+    return parse(text)[0]
 
 
 # Parsing
@@ -96,13 +146,12 @@ def first_doc(col: Column | str, flags: ParseFlags = PLAIN) -> Column:
 def tokens(col: Column | str, flags: ParseFlags = PLAIN) -> Column:
     """array of parse events (ord, kind, value as text, depth)."""
 
-    def run(text: str):
-        try:
-            return [{"ord": i, "kind": k, "value": v if isinstance(v, str) else scalar(v) if k not in _SHAPES else None, "depth": d} for i, (k, _, v, d) in enumerate(_tokens(text, flags))]
-        except ParseError:
-            return None
+    def part(roots):
+        ends, kinds, values, depths = event_columns(roots)
+        shown = [v if type(v) is str else str(v) if k == "int32" else None if k in _SHAPES else scalar(v) for k, v in zip(kinds, values, strict=True)]
+        return ends, [r is not MISSING for r in roots], [ordinals(ends), kinds, shown, depths]
 
-    return kernel(run, "array<struct<ord:int,kind:string,value:string,depth:int>>", col)
+    return _listed(col, part, "array<struct<ord:int,kind:string,value:string,depth:int>>", flags)
 
 
 _SHAPES = frozenset(("start_object", "end_object", "start_array", "end_array"))
@@ -153,7 +202,7 @@ def format_double(col: Column | str, max_decimals: int | None = None) -> Column:
 
 def map_document(col: Column | str, function, returns: str = "string", flags: ParseFlags = PLAIN) -> Column:
     """An own function of each parsed document; one that returns a document returns its text (``emit.dumps``)."""
-    return _edited(col, function, flags, returns)
+    return _edited(col, lambda v: function(dom.rebuilt(v)), flags, returns)
 
 
 # Reading and editing values
@@ -174,13 +223,13 @@ def pointer_get(col: Column | str, pointer: str, flags: ParseFlags = PLAIN) -> C
 def pointer_set(col: Column | str, pointer: str, value: Column) -> Column:
     """The text with JSON text ``value`` at the pointer; parents are made."""
     p = Pointer.parse(pointer)
-    return _edited(col, lambda v, new: None if new is None else dumps(p.set(v, parse(new)[0])[0]), PLAIN, "string", value)
+    return _edited(col, lambda v, new: None if new is None else dumps(p.set(apart(v, p.tokens), _constant(new))[0]), PLAIN, "string", value)
 
 
 def pointer_create(col: Column | str, pointer: str) -> Column:
     """The text with at least a null at the pointer."""
     p = Pointer.parse(pointer)
-    return _edited(col, lambda v: dumps(p.create(v)[0]))
+    return _edited(col, lambda v: dumps(p.create(apart(v, p.tokens))[0]))
 
 
 def pointer_default(col: Column | str, pointer: str, default: str) -> Column:
@@ -188,7 +237,7 @@ def pointer_default(col: Column | str, pointer: str, default: str) -> Column:
     p, made = Pointer.parse(pointer), parse(default)[0]
 
     def run(v):
-        root, value = p.get_with_default(v, dom.rebuilt(made))
+        root, value = p.get_with_default(apart(v, p.tokens), made)
         return {"text": dumps(root), "value": dumps(value)}
 
     return _edited(col, run, PLAIN, "struct<text:string,value:string>")
@@ -201,7 +250,7 @@ def pointer_swap(col: Column | str, pointer: str, value: Column) -> Column:
     def run(v, new):
         if new is None:
             return None
-        root, before, _ = p.set(v, parse(new)[0])
+        root, before, _ = p.set(apart(v, p.tokens), _constant(new))
         return {"text": dumps(root), "value": dumps(before)}
 
     return _edited(col, run, PLAIN, "struct<text:string,value:string>", value)
@@ -212,6 +261,7 @@ def pointer_erase(col: Column | str, pointer: str) -> Column:
     p = Pointer.parse(pointer)
 
     def run(v):
+        v = apart(v, p.tokens)
         done = p.erase(v)
         return {"text": dumps(v), "erased": done}
 
@@ -220,14 +270,19 @@ def pointer_erase(col: Column | str, pointer: str) -> Column:
 
 def traverse(col: Column | str) -> Column:
     """array of (ord, pointer, kind) of every node in document order."""
-    return _edited(col, lambda v: [{"ord": i, "pointer": str(p), "kind": kind(x)} for i, (p, x) in enumerate(_traverse(v))], PLAIN, "array<struct<ord:int,pointer:string,kind:string>>")
+
+    def part(roots):
+        ends, pointers, values = node_columns(roots)
+        return ends, [r is not MISSING for r in roots], [ordinals(ends), pointers, [kind(v) for v in values]]
+
+    return _listed(col, part, "array<struct<ord:int,pointer:string,kind:string>>")
 
 
 def json_equal(a: Column | str, b: Column | str) -> Column:
     """Deep equality: members in any order, 1 equals 1.0, objects that repeat a name equal nothing; null if not JSON."""
 
     def run(v, other):
-        return None if other is None else dom.equal(v, parse(other)[0])
+        return None if other is None else dom.equal(v, _constant(other))
 
     return _edited(a, run, PLAIN, "boolean", b)
 
@@ -239,7 +294,7 @@ def value_kind(col: Column | str) -> Column:
 
 def add_member(col: Column | str, name: str, value: Column) -> Column:
     """A member behind the others, even if the name is there; null if the text is no object."""
-    return _edited(col, lambda v, new: dumps(Obj([*v, (name, parse(new)[0])])) if isinstance(v, Obj) and new is not None else None, PLAIN, "string", value)
+    return _edited(col, lambda v, new: dumps(Obj([*v, (name, _constant(new))])) if isinstance(v, Obj) and new is not None else None, PLAIN, "string", value)
 
 
 def add_raw(col: Column | str, name: str, text: Column) -> Column:
@@ -253,6 +308,7 @@ def remove_member(col: Column | str, name: str, keep_order: bool = True) -> Colu
     def run(v):
         if not isinstance(v, Obj):
             return None
+        v = Obj(v)
         at = v.index_of(name)
         if at >= 0 and keep_order:
             del v[at]
@@ -272,10 +328,11 @@ def array_edit(col: Column | str, erase: tuple[int, int] | None = None, push: st
     def run(v):
         if not isinstance(v, list) or isinstance(v, Obj):
             return None
+        v = list(v)
         if erase:
             del v[erase[0] : erase[1]]
         if push is not None:
-            v.append(dom.rebuilt(made))
+            v.append(made)
         if pop and v:
             v.pop()
         return dumps(v)
@@ -294,13 +351,11 @@ def _leaves(text: str, options: FlattenOptions):
 def flatten(col: Column | str, options: FlattenOptions = FlattenOptions()) -> Column:
     """array of (ord, path, vtype, value as text) in document order; null for what is no object."""
 
-    def run(text: str):
-        try:
-            return [{"ord": i, "path": p, "vtype": t, "value": flat.primitive(t, v)["text"]} for i, (p, t, v) in enumerate(_leaves(text, options))]
-        except (ParseError, flat.FlatError):
-            return None
+    def part(roots):
+        ends, good, paths, tags, values = flat.leaf_columns(roots, options.exact)
+        return ends, good, [ordinals(ends), paths, tags, flat.shown(tags, values)]
 
-    return kernel(run, f"array<{ENTRY}>", col)
+    return _listed(col, part, f"array<{ENTRY}>", LENIENT if options.allow_remaining else PLAIN)
 
 
 def flatten_status(col: Column | str, options: FlattenOptions = FlattenOptions()) -> Column:
@@ -324,13 +379,14 @@ def flatten_status(col: Column | str, options: FlattenOptions = FlattenOptions()
 def flatten_typed(col: Column | str, options: FlattenOptions = FlattenOptions()) -> Column:
     """array of (path, primitive)."""
 
-    def run(text: str):
-        try:
-            return [{"path": p, "value": flat.primitive(t, v)} for p, t, v in _leaves(text, options)]
-        except (ParseError, flat.FlatError):
-            return None
+    returns = f"array<struct<path:string,value:{PRIMITIVE}>>"
+    value = to_arrow_type(_parse_datatype_string(PRIMITIVE))
+
+    def part(roots):
+        ends, good, paths, tags, values = flat.leaf_columns(roots, options.exact)
+        return ends, good, [paths, structs(flat.primitive_columns(tags, values), value)]
 
-    return kernel(run, f"array<struct<path:string,value:{PRIMITIVE}>>", col)
+    return _listed(col, part, returns, LENIENT if options.allow_remaining else PLAIN)
 
 
 def flatten_map(col: Column | str, options: FlattenOptions = FlattenOptions()) -> Column:

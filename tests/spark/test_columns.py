@@ -220,3 +220,25 @@ def test_own_functions_of_documents(docs):
 
     assert column(docs, D.map_document("doc", lambda v: len(v), "int"))[2] == 4
     assert column(docs, D.map_document("doc", lambda v: dumps(v[0]) if type(v) is list else None))[6] == '{"a":1}'
+
+
+def test_kernels_of_one_batch_share_its_parse(spark):
+    """Edits leave the value as it is, since a batch is parsed once for all kernels; columns are built without rows."""
+    texts = ['{"a":{"b":[1,2]},"s":"x"}', '[{"a":1},7]', "[1,", None, "12345678901234567890"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, doc string")
+    got = df.orderBy("id").select(
+        D.pointer_set("doc", "/a/b/0", F.lit("9")).alias("set"), D.pointer_erase("doc", "/a/b/1")["text"].alias("erased"), D.pointer_create("doc", "/a/b/3").alias("created"), D.remove_member("doc", "s").alias("removed"),
+        D.array_edit("doc", erase=(0, 1)).alias("edited"), D.condense("doc").alias("same"), D.traverse("doc").alias("nodes"), D.tokens("doc").alias("events"),
+    ).collect()
+    assert list(got[0][:4]) == ['{"a":{"b":[9,2]},"s":"x"}', '{"a":{"b":[1]},"s":"x"}', '{"a":{"b":[1,2,null,null]},"s":"x"}', '{"a":{"b":[1,2]}}']
+    assert [r.same for r in got] == [texts[0], texts[1], None, None, texts[4]] and got[1].edited == "[7]"
+    assert [n.pointer for n in got[0].nodes] == ["", "/a", "/a/b", "/a/b/0", "/a/b/1", "/s"] and got[2].nodes is None
+    assert [(e.ord, e.kind) for e in got[1].events] == [(0, "start_array"), (1, "start_object"), (2, "key"), (3, "int32"), (4, "end_object"), (5, "int32"), (6, "end_array")]
+
+
+def test_a_batch_is_parsed_once():
+    import pyarrow as pa
+
+    texts = pa.array(['{"a":[1]}', None, "["])
+    first = D.parsed(texts)
+    assert D.parsed(texts.slice(0)) is first and D.parsed(texts.slice(1)) is not first

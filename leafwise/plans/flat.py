@@ -1,9 +1,7 @@
-"""Flat form by built-ins: a projection where the schema is known, a recursive query where it is not."""
+"""Flat form by built-ins: a projection where the schema is known, a fold over its levels where it is not."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, StructType
 
@@ -35,24 +33,38 @@ def flatten_static(df: DataFrame, col: str, schema: StructType, keep: list[str])
     return parsed.select(*keep, F.explode(entries(F.col("v"), schema)).alias("e")).select(*keep, "e.path", "e.value")
 
 
+#: ``open``: a container that is still to be opened, or a null, which has nothing in it.
+NODES = "array<struct<path:string,v:variant,open:boolean>>"
+
+
 def flatten_recursive(df: DataFrame, col: str, keep: list[str], levels: int = 100) -> DataFrame:
-    """(keep, path, value) rows of any JSON objects by a recursive query of built-ins. Documents nested deeper than
-    ``levels`` fail the query; the row limit of recursive queries is lifted for this session."""
-    spark, view = df.sparkSession, f"flat_{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(levels))
-    df.select(*keep, F.try_parse_json(col).alias("v")).createOrReplaceTempView(view)
-    names = ", ".join(f"t.`{k}`" for k in keep)
-    return spark.sql(f"""
-        WITH RECURSIVE t AS (
-            SELECT {", ".join(f"`{k}`" for k in keep)}, '' AS path, v FROM {view} WHERE schema_of_variant(v) LIKE 'OBJECT%'
-            UNION ALL
-            SELECT {names}, concat(t.path, CASE WHEN t.path = '' THEN '' ELSE '.' END, coalesce(e.key, concat('[', e.pos, ']'))), e.value
-            FROM t, LATERAL variant_explode(t.v) e WHERE schema_of_variant(t.v) LIKE 'OBJECT%' OR schema_of_variant(t.v) LIKE 'ARRAY%'
-        )
-        SELECT {names}, path, CAST(v AS STRING) AS value FROM t
-        WHERE NOT is_variant_null(v) AND schema_of_variant(v) NOT LIKE 'OBJECT%' AND schema_of_variant(v) NOT LIKE 'ARRAY%'
-    """)
+    """(keep, path, value) rows of any JSON objects by a fold of built-ins: each step opens the containers of one level.
+    Documents nested deeper than ``levels`` fail the query. No shuffle, and each document is parsed once."""
+    none = F.array().cast(NODES)
+    below = lambda path, k: F.concat(path, F.when(path == "", "").otherwise("."), k)
+
+    def opened(x: Column) -> Column:
+        """What is in a container; a scalar stays. Nulls go."""
+        path, v = x["path"], x["v"]
+        members = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: _node(below(path, e["key"]), e["value"]))
+        elements = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e, i: _node(below(path, F.concat(F.lit("["), i.cast("string"), F.lit("]"))), e))
+        return F.when(x["open"], F.coalesce(members, elements, none)).otherwise(F.array(x))
+
+    step = lambda held, _: F.when(F.forall(held, lambda x: ~x["open"]), held).otherwise(F.flatten(F.transform(held, opened)))
+    # no document has more levels than opening brackets
+    brackets = F.octet_length(col) - F.octet_length(F.translate(F.col(col), "{[", ""))
+    rounds = F.sequence(F.lit(0), F.least(brackets, F.lit(levels)))
+    root = F.try_parse_json(col)
+    nodes = F.transform(F.array(root), lambda v: F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.aggregate(rounds, F.array(F.struct(F.lit("").alias("path"), v.alias("v"), F.lit(True).alias("open"))).cast(NODES), step)))
+    rows = df.select(*keep, F.explode(F.get(nodes, F.lit(0))).alias("e"))
+    too_deep = F.raise_error(F.lit(f"a document is nested deeper than {levels} levels")).cast("string")
+    text = F.when(F.col("e.open"), too_deep).otherwise(F.col("e.v").cast("string"))
+    return rows.select(*keep, "e.path", text.alias("value"))
+
+
+def _node(path: Column, v: Column) -> Column:
+    again = F.try_variant_get(v, "$", "map<string,variant>").isNotNull() | F.try_variant_get(v, "$", "array<variant>").isNotNull() | F.is_variant_null(v)
+    return F.struct(path.alias("path"), v.alias("v"), again.alias("open"))
 
 
 def closed_schema(df: DataFrame, col: str) -> StructType | None:

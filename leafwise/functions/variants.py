@@ -11,15 +11,23 @@ INT32, UINT32, INT64, UINT64 = ((-(1 << 31), (1 << 31) - 1), (0, (1 << 32) - 1),
 FLOAT_MAX = 3.4028234663852886e38
 
 
+def held(v: Column, use) -> Column:
+    """``use(v)``, where ``v`` is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(v), use), F.lit(0))
+
+
 def kind(v: Column) -> Column:
     """null, boolean, integer, double, string, object or array; SQL null for a missing value."""
-    s = F.schema_of_variant(v)
-    whole = (s == "BIGINT") | (s.rlike(r"^DECIMAL\([0-9]+,0\)$") & (F.abs(F.try_variant_get(v, "$", "double")) >= 9.2e18))
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(s == "VOID", "null").when(s == "BOOLEAN", "boolean").when(s == "STRING", "string").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
-        .when(whole, "integer").when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "double")
-    )
+
+    def told(s: Column) -> Column:
+        whole = (s == "BIGINT") | (s.rlike(r"^DECIMAL\([0-9]+,0\)$") & (F.abs(F.try_variant_get(v, "$", "double")) >= 9.2e18))
+        return (
+            F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(s == "VOID", "null").when(s == "BOOLEAN", "boolean").when(s == "STRING", "string").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
+            .when(whole, "integer").when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "double")
+        )
+
+    return held(F.schema_of_variant(v), told)
 
 
 def _between(v: Column, limits: tuple[int, int]) -> Column:
@@ -87,12 +95,12 @@ def string_length(v: Column) -> Column:
 
 def members(v: Column) -> Column:
     """map of names to values; null if it is no object."""
-    return F.when(kind(v) == "object", F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def elements(v: Column) -> Column:
     """array of values; null if it is no array."""
-    return F.when(kind(v) == "array", F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def has_member(v: Column, name: str) -> Column:
@@ -100,8 +108,8 @@ def has_member(v: Column, name: str) -> Column:
 
 
 def member_count(v: Column) -> Column:
-    return F.when(members(v).isNotNull(), F.size(F.map_keys(members(v))))
+    return held(members(v), lambda m: F.when(m.isNotNull(), F.size(F.map_keys(m))))
 
 
 def array_length(v: Column) -> Column:
-    return F.when(elements(v).isNotNull(), F.size(elements(v)))
+    return held(elements(v), lambda x: F.when(x.isNotNull(), F.size(x)))

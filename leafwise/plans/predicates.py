@@ -24,8 +24,7 @@ class Unsupported(ValueError):
 
 def predicate(col: Column | str, schema: Schema) -> Column:
     """Whether the document meets the schema; false for null and for what the built-in parser refuses."""
-    v = F.try_parse_json(col)
-    return F.coalesce(v.isNotNull() & _node(schema.root, v, schema, ()), F.lit(False))
+    return F.coalesce(variants.held(F.try_parse_json(col), lambda v: v.isNotNull() & _node(schema.root, v, schema, ())), F.lit(False))
 
 
 def _all(parts: list[Column]) -> Column:

@@ -119,8 +119,8 @@ def ptr_edit(spark, sf_dir):
 
 @query(f"WITH {DOC} SELECT o_orderkey, array_to_string(list_sort(json_keys(doc)), ',') AS names, len(json_keys(doc))::bigint AS members, json_array_length(doc, '/lines')::bigint AS lines FROM docs")
 def obj_keys(spark, sf_dir):
-    v = F.try_parse_json("doc")
-    return orders_doc(spark, sf_dir).select("o_orderkey", F.array_join(F.array_sort(F.map_keys(V.members(v))), ",").alias("names"), V.member_count(v).cast("bigint").alias("members"), V.array_length(V.get(v, "$.lines")).cast("bigint").alias("lines"))
+    of = lambda v: F.struct(F.array_join(F.array_sort(F.map_keys(V.members(v))), ",").alias("names"), V.member_count(v).cast("bigint").alias("members"), V.array_length(V.get(v, "$.lines")).cast("bigint").alias("lines"))
+    return orders_doc(spark, sf_dir).select("o_orderkey", F.inline(F.transform(F.array(F.try_parse_json("doc")), of)))
 
 
 @query(f"WITH {LINES} SELECT 'integer' AS kind, 'cust' AS name, count(*) AS n FROM heads UNION ALL SELECT 'integer', 'key', count(*) FROM heads UNION ALL SELECT 'string', 'status', count(*) FROM heads UNION ALL SELECT 'boolean', 'open', count(*) FROM heads UNION ALL SELECT 'array', 'lines', count(*) FROM heads")

@@ -242,3 +242,15 @@ def test_a_batch_is_parsed_once():
     texts = pa.array(['{"a":[1]}', None, "["])
     first = D.parsed(texts)
     assert D.parsed(texts.slice(0)) is first and D.parsed(texts.slice(1)) is not first
+
+
+def test_values_are_worked_out_once(spark, docs):
+    """The predicate named the parse of its document again and again, and each was run; a flat form took a pass for each level."""
+    plan = docs.where(schemas.is_valid("doc", Schema('{"properties":{"a":{"maximum":3,"minimum":1},"b":{"maximum":3}}}'), "native"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
+    flat = O.flatten_rows(docs, "doc", ["id"], "recursive")
+    assert "UnionLoop" not in flat._jdf.queryExecution().executedPlan().toString()
+    deep = spark.createDataFrame([(0, '{"a":' + "[" * 7 + "1" + "]" * 7 + "}"), (1, '{"n":null,"e":{},"f":[],"":2}')], "id int, doc string")
+    assert {(r.id, r.path, r.value) for r in flat_plans.flatten_recursive(deep, "doc", ["id"]).collect()} == {(0, "a" + ".[0]" * 7, "1"), (1, "", "2")}
+    with pytest.raises(Exception, match="nested deeper"):
+        flat_plans.flatten_recursive(deep, "doc", ["id"], levels=4).collect()

@@ -45,8 +45,11 @@ def unflatten_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 def doc_diff(a: DataFrame, b: DataFrame, col: str, keep: list[str]) -> DataFrame:
     """Leaves of either side only: keep, path, value, side (left or right)."""
-    left, right = (flatten_rows(x, col, keep).select(*keep, "path", "value") for x in (a, b))
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    sides = [flatten_rows(x, col, keep).select(*keep, "path", "value", F.lit(n).alias("__n")) for x, n in ((a, 1), (b, -1))]
+    # counted once for both directions: what is left over is of one side
+    over = sides[0].unionByName(sides[1]).groupBy(*keep, "path", "value").agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    side = F.when(F.col("__n") > 0, "left").otherwise("right").alias("side")
+    return over.select(*keep, "path", "value", F.explode(F.array_repeat(side, F.abs("__n").cast("int"))).alias("side"))
 
 
 def traverse_rows(df: DataFrame, col: str, keep: list[str]) -> DataFrame:

@@ -254,3 +254,12 @@ def test_values_are_worked_out_once(spark, docs):
     assert {(r.id, r.path, r.value) for r in flat_plans.flatten_recursive(deep, "doc", ["id"]).collect()} == {(0, "a" + ".[0]" * 7, "1"), (1, "", "2")}
     with pytest.raises(Exception, match="nested deeper"):
         flat_plans.flatten_recursive(deep, "doc", ["id"], levels=4).collect()
+
+
+def test_documents_are_flattened_once_for_their_difference(spark):
+    """Leaves that repeat count as often as they are left over; each side was flattened twice."""
+    a = spark.createDataFrame([(0, '{"a":1,"a":1,"b":2}'), (None, '{"x":1}'), (2, '{"same":[1]}')], "id int, doc string")
+    b = spark.createDataFrame([(0, '{"a":1,"b":3,"b":3}'), (None, '{"x":1}'), (2, '{"same":[1]}')], "id int, doc string")
+    diff = O.doc_diff(a, b, "doc", ["id"])
+    assert sorted(tuple(r) for r in diff.collect()) == [(0, "a", "1", "left"), (0, "b", "2", "left"), (0, "b", "3", "right"), (0, "b", "3", "right")]
+    assert diff._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2

@@ -6,7 +6,6 @@ A text that cannot be parsed gives null; ``parse_status`` tells why. Where a bui
 
 from __future__ import annotations
 
-import gc
 from dataclasses import replace
 from functools import lru_cache
 
@@ -39,14 +38,7 @@ def parsed(texts: pa.Array, flags: ParseFlags = PLAIN) -> list:
     if _HELD[0] != key:
         _HELD[:] = None, None, None
         unsure = pc.match_substring_regex(texts, UNSURE).to_pylist() if flags == PLAIN else [True] * len(texts)
-        collects = gc.isenabled()
-        gc.disable()  # nothing here has cycles, and a part is bounded
-        try:
-            values = [_value(t, u, flags) for t, u in zip(texts.to_pylist(), unsure, strict=True)]
-        finally:
-            if collects:
-                gc.enable()
-        _HELD[:] = key, texts, values
+        _HELD[:] = key, texts, [_value(t, u, flags) for t, u in zip(texts.to_pylist(), unsure, strict=True)]
     return _HELD[2]
 
 

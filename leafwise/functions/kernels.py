@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -32,6 +33,15 @@ def parts_kernel(part: Callable[..., pa.Array], returns: str | DataType, *column
     kind = _parse_datatype_string(returns) if isinstance(returns, str) else returns
 
     def run(*arrays: pa.Array) -> pa.Array:
+        collects = gc.isenabled()
+        gc.disable()  # nothing that is made here has cycles, and a part is bounded
+        try:
+            return cut(*arrays)
+        finally:
+            if collects:
+                gc.enable()
+
+    def cut(*arrays: pa.Array) -> pa.Array:
         n, size = len(arrays[0]), sum(a.nbytes for a in arrays)
         step = max(1, n * PART_BYTES // max(PART_BYTES, size))  # rows that are Python objects at once
         if step >= n:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
-from leafwise.functions.documents import PRIMITIVE
-from leafwise.functions.kernels import kernel
+from leafwise.functions.documents import PRIMITIVE, parsed
+from leafwise.functions.kernels import kernel, lists, parts_kernel, structs
 from leafwise.kernel import flat, transcode
 from leafwise.kernel.emit import WriteError, dumps
-from leafwise.kernel.lexer import Obj, ParseError, byte_offset, parse
+from leafwise.kernel.lexer import MISSING, Obj, ParseError, byte_offset, parse
 from leafwise.kernel.transcode import TranscodeError
 from leafwise.kernel.wire import Msg, Pool, WireError, decode, encode
 from leafwise.options import JsonToPb, ParseFlags, PbToJson
@@ -16,6 +20,19 @@ from leafwise.options import JsonToPb, ParseFlags, PbToJson
 STATUS = "code:string,message:string"
 
 
+def _rows(run, returns: str, names: tuple[str, ...], *columns: Column | str) -> Column:
+    """``kernel`` of a function that gives rows of scalars or None; they are put together by column."""
+    arrow = to_arrow_type(_parse_datatype_string(returns))
+
+    def part(*arrays: pa.Array) -> pa.Array:
+        made = [None if r[0] is None else run(*r) for r in zip(*(a.to_pylist() for a in arrays), strict=True)]
+        if None in made:
+            return pa.array(made, arrow)
+        return structs([[r[n] for r in made] for n in names], arrow)
+
+    return parts_kernel(part, returns, *columns)
+
+
 def pb_to_json(col: Column | str, pool: Pool, name: str, options: PbToJson = PbToJson()) -> Column:
     """(text, code, message) of each message."""
     desc = pool.message(name)
@@ -26,7 +43,7 @@ def pb_to_json(col: Column | str, pool: Pool, name: str, options: PbToJson = PbT
         except (WireError, TranscodeError, WriteError) as e:
             return {"text": None, "code": "invalid_argument", "message": str(e)}
 
-    return kernel(run, f"struct<text:string,{STATUS}>", col)
+    return _rows(run, f"struct<text:string,{STATUS}>", ("text", "code", "message"), col)
 
 
 def json_to_pb(col: Column | str, pool: Pool, name: str, options: JsonToPb = JsonToPb()) -> Column:
@@ -46,7 +63,27 @@ def json_to_pb(col: Column | str, pool: Pool, name: str, options: JsonToPb = Jso
         except TranscodeError as e:
             return {"msg": None, "code": "invalid_argument", "message": str(e), "offset": at}
 
-    return kernel(run, f"struct<msg:binary,{STATUS},offset:bigint>", col)
+    if options.allow_remaining:
+        return kernel(run, f"struct<msg:binary,{STATUS},offset:bigint>", col)
+    returns = f"struct<msg:binary,{STATUS},offset:bigint>"
+    arrow = to_arrow_type(_parse_datatype_string(returns))
+
+    def part(texts: pa.Array) -> pa.Array:
+        rows = []
+        for value, text, size in zip(parsed(texts), texts, pc.binary_length(texts).to_pylist(), strict=True):
+            if value is MISSING:
+                rows.append((None,) * 4 if size is None else tuple(run(text.as_py()).values()))
+                continue
+            try:
+                made, skipped = transcode.from_json(value, desc, pool, options)
+                rows.append((encode(made), "ok", skipped or None, size))
+            except TranscodeError as e:
+                rows.append((None, "invalid_argument", str(e), size))
+        columns = [pa.array(c, arrow.field(i).type) for i, c in enumerate(zip(*rows, strict=True))] if rows else [[]] * 4
+        made = structs(columns, arrow)
+        return pc.if_else(texts.is_valid(), made, pa.scalar(None, arrow)) if texts.null_count else made
+
+    return parts_kernel(part, returns, col)
 
 
 def _entries(data: bytes, desc, pool, options):
@@ -60,15 +97,22 @@ def pb_flatten(col: Column | str, pool: Pool, name: str, options: PbToJson = PbT
     """array of (path, primitive)."""
     desc = pool.message(name)
 
-    def run(data: bytes):
-        got = _entries(data, desc, pool, options)
-        return None if got is None else [{"path": p, "value": flat.primitive(*_tagged(t, v))} for p, t, v in got]
+    returns = f"array<struct<path:string,value:{PRIMITIVE}>>"
+    arrow = to_arrow_type(_parse_datatype_string(returns))
 
-    return kernel(run, f"array<struct<path:string,value:{PRIMITIVE}>>", col)
+    def part(messages: pa.Array) -> pa.Array:
+        ends, good, paths, tags, values = [], [], [], [], []
+        for data in messages.to_pylist():
+            got = None if data is None else _entries(data, desc, pool, options)
+            for p, t, v in got or ():
+                paths.append(p)
+                tags.append("int64" if t == "uint32" else t)
+                values.append(v)
+            ends.append(len(paths))
+            good.append(got is not None)
+        return lists(ends, good, [paths, structs(flat.primitive_columns(tags, values), arrow.value_type.field(1).type)], arrow)
 
-
-def _tagged(tag: str, value):
-    return ("int64", value) if tag == "uint32" else (tag, value)
+    return parts_kernel(part, returns, col)
 
 
 def pb_flatten_map(col: Column | str, pool: Pool, name: str, options: PbToJson = PbToJson()) -> Column:
@@ -108,7 +152,7 @@ def pb_set(col: Column | str, entries: Column, pool: Pool, name: str) -> Column:
         return {"msg": encode(message), "code": "ok", "message": None}
 
     source = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(bytearray()))
-    return kernel(run, f"struct<msg:binary,{STATUS}>", source, entries)
+    return _rows(run, f"struct<msg:binary,{STATUS}>", ("msg", "code", "message"), source, entries)
 
 
 def pb_set_typed(col: Column | str, entries: Column, pool: Pool, name: str) -> Column:

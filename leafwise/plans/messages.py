@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DecimalType, DoubleType, FloatType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from leafwise.kernel.wire import Field, Message, Msg, Pool, decode, is_any, is_map
@@ -52,7 +54,7 @@ def row_of(message: Msg, depth: int = 8) -> dict:
 
 def pb_decode(col, pool: Pool, name: str, depth: int = 8):
     """A Column of the decoded struct; null for bytes that are no such message."""
-    from leafwise.functions.kernels import kernel
+    from leafwise.functions.kernels import parts_kernel, structs
     from leafwise.kernel.wire import WireError
 
     desc = pool.message(name)
@@ -63,7 +65,14 @@ def pb_decode(col, pool: Pool, name: str, depth: int = 8):
         except WireError:
             return None
 
-    return kernel(run, struct_of(desc, pool, depth), col)
+    kind = struct_of(desc, pool, depth)
+    arrow = to_arrow_type(kind)
+
+    def part(messages: pa.Array) -> pa.Array:
+        rows = [None if data is None else run(data) for data in messages.to_pylist()]
+        return pa.array(rows, arrow) if None in rows or not rows else structs([[r[f.name] for r in rows] for f in kind], arrow)
+
+    return parts_kernel(part, kind, col)
 
 
 __all__ = ["is_any", "pb_decode", "row_of", "struct_of"]

@@ -143,3 +143,44 @@ def test_unknown_fields_survive_and_bad_bytes_fail():
     for bad in (b"\x08", b"\x0a\x05ab", b"\xff" * 11):
         with pytest.raises(WireError):
             decode(bad, POOL.message("Whole"), POOL)
+
+
+def test_made_codecs_agree_with_the_general_code():
+    """Functions made for a message type take what is usual; they did not exist, and each message was read by descriptors."""
+    from leafwise.kernel import transcode as T, wire
+    from leafwise.kernel.lexer import parse
+    from leafwise.options import JsonToPb
+
+    for proto3 in (False, True):
+        pool = wire.Pool.declare(
+            {
+                "E": {"NO": 0, "YES": 5}, "Kv": {"key": (1, "string"), "value": (2, "sint32")}, "Sub": {"id": (1, "int32"), "more": (2, "Sub"), "names": (3, "string", "repeated")},
+                "M": {"a": (3, "int64"), "b": (1, "uint64"), "c": (2, "double"), "d": (4, "E"), "e": (5, "bytes"), "f": (6, "Sub"), "g": (7, "Sub", "repeated"), "h": (8, "Kv", "repeated"), "i": (9, "sint64", "repeated"), "j": (10, "fixed32", "repeated"), "k": (11, "bool"), "l": (12, "float"), "m": (13, "int32")},
+            }, proto3,
+        )
+        desc = pool.message("M")
+        assert pool.codec(desc).decode and pool.codec(desc).read
+        texts = [
+            '{"a":-1,"b":18446744073709551615,"c":2,"d":"YES","e":"Rg==","f":{"id":-7,"more":{"names":["é",""]}},"g":[{},{"id":300}],"h":{"x":-3,"y":0},"i":[-1,70000],"j":[1,4294967295],"k":true,"l":0.5,"m":-2}',
+            "{}", '{"a":0,"k":false,"e":"","d":"NO","c":0}', '{"a":"12","b":"-1"}', '{"a":1,"a":2}', '{"d":5}', '{"d":"MAYBE"}', '{"e":"*"}', '{"h":[{"key":"q","value":1}]}', '{"h":{"x":null}}', '{"l":1e39}', '{"g":[null]}', '{"a":true,"m":1.5}', '{"f":[]}', '{"i":5}', '{"a":99999999999999999999}',
+        ]
+        outcome = lambda f: _outcome(f)
+        for text in texts:
+            value = parse(text)[0]
+            made, general = outcome(lambda: T.from_json(value, desc, pool)), outcome(lambda: T._from_json(value, desc, pool, JsonToPb()))
+            if isinstance(general, str):
+                assert made == general, text
+                continue
+            data = wire._encode(general[0])
+            assert (wire.encode(made[0]), made[1]) == (data, general[1]), text
+            for cut in range(len(data) + 1):
+                one, other = outcome(lambda: T.to_json(wire.decode(data[:cut], desc, pool))), outcome(lambda: T.to_json(wire._decode(data[:cut], desc, pool)))
+                assert one == other, (text, cut)
+            assert wire.encode(wire.decode(data + data + b"\xa8\x06\x01", desc, pool)) == wire._encode(wire._decode(data + data + b"\xa8\x06\x01", desc, pool))
+
+
+def _outcome(f):
+    try:
+        return f()
+    except ValueError as e:
+        return f"{type(e).__name__}: {e}"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -416,13 +417,19 @@ def kv_text(entries: Column | str) -> Column:
 def unflatten(entries: Column | str) -> Column:
     """JSON text of an array of (ord, path, vtype, value); null if paths contradict each other."""
 
-    def run(rows):
-        try:
-            return dumps(flat.unflatten((r["path"], flat.scalar_of(r["vtype"], r["value"])) for r in sorted(rows, key=lambda r: r["ord"])))
-        except flat.FlatError:
-            return None
+    def part(rows: pa.Array) -> pa.Array:
+        ends, out = rows.offsets.to_pylist(), []
+        held = rows.values.slice(ends[0], ends[-1] - ends[0])
+        columns = dict(zip([f.name for f in held.type], (c.to_pylist() for c in held.flatten()), strict=True))
+        cells = list(zip(*(columns[n] for n in ("ord", "path", "vtype", "value")), strict=True))
+        for a, b, valid in zip(ends, ends[1:], rows.is_valid().to_pylist()):
+            try:
+                out.append(dumps(flat.unflatten((r[1], flat.scalar_of(r[2], r[3])) for r in sorted(cells[a - ends[0] : b - ends[0]], key=itemgetter(0)))) if valid else None)
+            except flat.FlatError:
+                out.append(None)
+        return pa.array(out, pa.string())
 
-    return kernel(run, "string", entries)
+    return parts_kernel(part, "string", entries)
 
 
 def parse_flat_key(col: Column | str) -> Column:

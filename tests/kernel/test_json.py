@@ -227,3 +227,12 @@ def _slow_split(text):
             return
         at = p.at
         yield start, at, value, None
+
+
+def test_paths_that_come_again_are_read_once():
+    from leafwise.kernel import flat
+
+    flat._key.cache_clear()
+    for _ in range(3):
+        assert flat.unflatten([("a.[1].b", 1), ("c", "x")]) == [("a", [None, [("b", 1)]]), ("c", "x")]
+    assert flat._key.cache_info().misses == 2

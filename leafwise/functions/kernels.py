@@ -79,5 +79,5 @@ def lists(ends: list[int], good: list[bool], columns: list, kind: pa.DataType) -
 def ordinals(ends: list[int]) -> pa.Array:
     """Of the elements of lists that end at ``ends``, their places."""
     stops = np.asarray(ends, np.int32)
-    starts = np.concatenate((np.zeros(1, np.int32), stops[:-1]))
+    starts = np.concatenate((np.zeros(1, np.int32), stops))[:-1]
     return pa.array(np.arange(stops[-1] if len(stops) else 0, dtype=np.int32) - np.repeat(starts, stops - starts))

@@ -236,3 +236,13 @@ def test_paths_that_come_again_are_read_once():
     for _ in range(3):
         assert flat.unflatten([("a.[1].b", 1), ("c", "x")]) == [("a", [None, [("b", 1)]]), ("c", "x")]
     assert flat._key.cache_info().misses == 2
+
+
+def test_parts_without_rows():
+    import pyarrow as pa
+
+    from leafwise.functions import documents as D, kernels
+
+    kind = pa.list_(pa.struct([("ord", pa.int32()), ("path", pa.string())]))
+    assert kernels.lists([], [], [kernels.ordinals([]), []], kind).to_pylist() == [] and D.parsed(pa.array([], pa.string())) == []
+    assert kernels.lists([2, 2], [True, False], [kernels.ordinals([2, 2]), ["x", "y"]], kind).to_pylist() == [[{"ord": 0, "path": "x"}, {"ord": 1, "path": "y"}], None]
